@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import decontaminate, near_dedup, packing, sharding, suffix_dedup, url_filter
 from .store import Scratch
 
 
@@ -18,5 +18,33 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), words=3, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_near_dedup": op1_near_dedup}
-ORACLES: dict[str, str] = {}
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), Scratch(spark), 40)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_url_filter": op4_url_filter,
+    "op7_decontamination": op7_decontamination,
+    "op9_sharding": op9_sharding,
+    "op10_packing": op10_packing,
+}
+ORACLES: dict[str, str] = {"op4_url_filter": url_filter.SQL}
