@@ -167,7 +167,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     pairs = scratch.write(keys.join(shared, "key").where("id <> pivot").select("pivot", "id").distinct(), "pairs")
     involved = pairs.select("id").union(pairs.select("pivot")).distinct()
     with short_batches(spark):
-        texts = rows.join(involved, rows.doc_id == involved.id, "left_semi").select("doc_id", "text")
+        # hashed on the short side at every size: as a broadcast it would grow with the input
+        texts = rows.join(involved.hint("shuffle_hash"), rows.doc_id == involved.id, "left_semi").select("doc_id", "text")
         sets = scratch.write(texts.mapInArrow(_sets(words), "id bigint, s array<bigint>").dropDuplicates(["id"]), "sets")
     one = pairs.join(sets, "id").select("pivot", "id", F.col("s").alias("s1"))
     both = F.size(F.array_intersect("s1", "s")).cast("bigint")
