@@ -18,25 +18,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import short_batches
-from .textops import as_bytes, slices
+from .textops import NORMAL, as_bytes, slices
 
 WINDOW = 10
 #: Bytes of patterns in one automaton. A larger benchmark is scanned with several, one after another.
 BLOCK_BYTES = 16_000_000
-_WORD = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
-_NORMAL = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _WORD else 0x20 for c in range(256))
 _built: dict = {}
 
 
 def normal(text: bytes) -> bytes:
     """Words with one space before, between and after; empty without words."""
-    words = text.translate(_NORMAL).split()
+    words = text.translate(NORMAL).split()
     return b" " + b" ".join(words) + b" " if words else b""
 
 
 def windows(text: bytes) -> list[bytes]:
     """Each window of an item, with spaces around; the whole item where it has fewer words, but not none."""
-    words = text.translate(_NORMAL).split()
+    words = text.translate(NORMAL).split()
     return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(max(1, len(words) - WINDOW + 1))] if words else []
 
 
