@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Mean earth radius; WGS84 semi-major axis and flattening; metres of a degree of latitude.
 RADIUS_M = 6_371_008.8
@@ -103,13 +104,13 @@ def wgs84_inverse(lat1, lon1, lat2, lon2):
     return np.where(lost, round_, distance), np.where(lost, np.degrees(np.arctan2(np.sin(dl) * np.cos(q), np.cos(p) * np.sin(q) - np.sin(p) * np.cos(q) * np.cos(dl))) % 360, bearing)
 
 
-@F.pandas_udf("lat double, lon double")
+@F.pandas_udf(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))
 def geodesic_forward(lat: pd.Series, lon: pd.Series, bearing: pd.Series, distance: pd.Series) -> pd.DataFrame:
     a, b = wgs84_forward(lat, lon, bearing, distance)
     return pd.DataFrame({"lat": a, "lon": b})
 
 
-@F.pandas_udf("distance double, bearing double")
+@F.pandas_udf(T.StructType([T.StructField("distance", T.DoubleType()), T.StructField("bearing", T.DoubleType())]))
 def geodesic_inverse(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.DataFrame:
     a, b = wgs84_inverse(lat1, lon1, lat2, lon2)
     return pd.DataFrame({"distance": a, "bearing": b})

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import ingest, ordered
+from . import ingest, match, ordered, raster
 from .base import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _part in (ingest, ordered):
+for _part in (ingest, ordered, raster, match):
     QUERIES |= _part.plans.queries
     ORACLES |= _part.plans.oracles
