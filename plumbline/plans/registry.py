@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decide, estimate, ingest, match, ordered, raster
+from . import decide, estimate, ingest, match, ordered, raster, simulate, streams
 from .base import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _part in (ingest, ordered, raster, match, decide, estimate):
+for _part in (ingest, ordered, raster, match, decide, estimate, simulate, streams):
     QUERIES |= _part.plans.queries
     ORACLES |= _part.plans.oracles
