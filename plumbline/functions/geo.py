@@ -20,11 +20,16 @@ def metres_to_degrees(lat: Column, north: Column, east: Column) -> tuple[Column,
     return north / DEGREE_M, F.when(F.abs(per) >= 1e-9, east / per)
 
 
+def _within_one(x: Column) -> Column:
+    """x, or the nearer of -1 and 1 where rounding went beyond. Null stays null, which least() and greatest() would not keep."""
+    return F.when(x > 1, 1.0).when(x < -1, -1.0).otherwise(x)
+
+
 def sphere_forward(lat: Column, lon: Column, bearing: Column, distance: Column) -> tuple[Column, Column]:
     """The point at a distance along a great circle."""
     p, b, d = F.radians(lat), F.radians(bearing), distance / RADIUS_M
     s = F.sin(p) * F.cos(d) + F.cos(p) * F.sin(d) * F.cos(b)
-    to = F.asin(F.greatest(F.least(s, F.lit(1.0)), F.lit(-1.0)))
+    to = F.asin(_within_one(s))
     return F.degrees(to), lon + F.degrees(F.atan2(F.sin(b) * F.sin(d) * F.cos(p), F.cos(d) - F.sin(p) * s))
 
 
@@ -33,7 +38,7 @@ def sphere_inverse(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> tu
     p, q, dl = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
     h = F.pow(F.sin((q - p) / 2), 2) + F.cos(p) * F.cos(q) * F.pow(F.sin(dl / 2), 2)
     bearing = F.degrees(F.atan2(F.sin(dl) * F.cos(q), F.cos(p) * F.sin(q) - F.sin(p) * F.cos(q) * F.cos(dl)))
-    return 2 * RADIUS_M * F.asin(F.least(F.sqrt(h), F.lit(1.0))), F.pmod(bearing, F.lit(360.0))
+    return 2 * RADIUS_M * F.asin(_within_one(F.sqrt(h))), F.pmod(bearing, F.lit(360.0))
 
 
 def _series(u2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

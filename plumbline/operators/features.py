@@ -32,7 +32,9 @@ def smoothed(x: np.ndarray) -> np.ndarray:
 
 def standardised(x: np.ndarray) -> np.ndarray:
     sd = x.std(axis=-1, keepdims=True)
-    return np.where(sd > 0, (x - x.mean(axis=-1, keepdims=True)) / np.where(sd > 0, sd, 1), 0.0)
+    mean = x.mean(axis=-1, keepdims=True)
+    varies = sd > 1e-12 * np.maximum(np.abs(mean), 1.0)
+    return np.where(varies, (x - mean) / np.where(varies, sd, 1), 0.0)
 
 
 def feature_vectors(x: np.ndarray) -> np.ndarray:

@@ -171,7 +171,7 @@ def peak_quality(spark, sf_dir):
     side = F.when(~near, F.col("score"))
     got = cells.crossJoin(F.broadcast(top)).agg(F.first("p").alias("p"), F.max(side).alias("most"), F.stddev_pop(side).alias("sd"), F.avg("score").alias("mean"))
     p, to_side = F.col("p"), F.coalesce(F.col("p") / F.greatest("sd", F.lit(1e-9)), F.col("p") / 1e-9)
-    return got.select(r6(F.coalesce(F.greatest(p - F.col("most"), F.lit(0.0)), p)).alias("confidence"), F.round(to_side, 5).alias("to_side"), F.round(p / F.greatest(F.abs("mean"), F.lit(1e-9)), 5).alias("to_mean"), ((p >= 0.5) & (to_side >= 1.3)).alias("reliable"))
+    return got.select(r6(F.when(F.col("most").isNull(), p).otherwise(F.greatest(p - F.col("most"), F.lit(0.0)))).alias("confidence"), F.round(to_side, 5).alias("to_side"), F.round(p / F.greatest(F.abs("mean"), F.lit(1e-9)), 5).alias("to_mean"), ((p >= 0.5) & (to_side >= 1.3)).alias("reliable"))
 
 
 @plans.add("ambiguity_metrics", f"""WITH {HEAT_SQL}, {_PEAK}, {_maxima_sql(3)}, c AS (SELECT h.*, peak.*, {_WAY} AS way, n.top FROM heat h JOIN nearby n USING (az, off), peak),

@@ -83,7 +83,7 @@ def gap_fill_linear(spark, sf_dir):
     return samples(spark, sf_dir).withColumn("i", F.row_number().over(TRACK)).select("event_id", r6(O.gap_fill(F.col("agl"), F.col("i"), TRACK)).alias("filled"))
 
 
-_INVERSE = """2 * {R} * asin(least(sqrt(power(sin((radians({2}) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * power(sin(radians({3} - {1}) / 2), 2)), 1))"""
+_INVERSE = """CASE WHEN {0} IS NOT NULL THEN 2 * {R} * asin(least(sqrt(power(sin((radians({2}) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * power(sin(radians({3} - {1}) / 2), 2)), 1)) END"""
 _BEARING = """(degrees(atan2(sin(radians({3} - {1})) * cos(radians({2})), cos(radians({0})) * sin(radians({2})) - sin(radians({0})) * cos(radians({2})) * cos(radians({3} - {1})))) + 360) % 360"""
 
 

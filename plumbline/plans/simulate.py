@@ -32,18 +32,18 @@ def sim_imu(spark, sf_dir):
     return got.select("event_id", *(F.round(c, 5).alias(c) for c in ("accel_x", "accel_y", "accel_z")), r6("gyro_z").alias("gyro_z"))
 
 
-_READ = f"""{SAMPLES_SQL}, r AS (SELECT event_id, 1500 - value AS ground, CASE event_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'forest' WHEN 2 THEN 'snow' ELSE 'mask' END AS mode, (event_id % 10)::DOUBLE / 10 AS mask, least(abs(((((heading - lag(heading) OVER w + 180) % 360) + 360) % 360) - 180) * 0.5, 25) AS bank,
+_READ = f"""{SAMPLES_SQL}, r AS (SELECT event_id, 1500 - value AS ground, CASE event_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'forest' WHEN 2 THEN 'snow' ELSE 'mask' END AS mode, (event_id % 10)::DOUBLE / 10 AS mask, least(coalesce(abs(((((heading - lag(heading) OVER w + 180) % 360) + 360) % 360) - 180), 0) * 0.5, 25) AS bank,
   ((event_id * 17) % 200)::DOUBLE / 100 - 1 AS z, ((event_id * 31) % 100)::DOUBLE / 100 AS u1, ((event_id * 47) % 100)::DOUBLE / 100 AS u2 FROM samples WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 b AS (SELECT *, CASE mode WHEN 'none' THEN 0 WHEN 'mask' THEN CASE WHEN mask > 0.5 THEN 4 ELSE 0 END ELSE 4 END AS bias FROM r)"""
 
 
-@plans.add("sim_sensor_model", f"WITH {_READ} SELECT event_id, CASE WHEN u2 >= 0.05 THEN round((1500 - (ground + bias)) / cos(radians(coalesce(bank, 0))) + z * 2.5 + CASE WHEN u1 < 0.03 THEN z * 40 ELSE 0 END, 5) END AS agl FROM b")
+@plans.add("sim_sensor_model", f"WITH {_READ} SELECT event_id, CASE WHEN u2 >= 0.05 THEN round((1500 - (ground + bias)) / cos(radians(bank)) + z * 2.5 + CASE WHEN u1 < 0.03 THEN z * 40 ELSE 0 END, 5) END AS agl FROM b")
 def sim_sensor_model(spark, sf_dir):
     i = F.col("event_id")
     part = lambda k, n: (i * k % n).cast("double")
-    bank = F.least(F.abs(angles.turn(F.lag("heading").over(TRACK), F.col("heading"))) * 0.5, F.lit(25.0))
+    bank = F.least(F.coalesce(F.abs(angles.turn(F.lag("heading").over(TRACK), F.col("heading"))), F.lit(0.0)) * 0.5, F.lit(25.0))
     mode = F.element_at(F.array(*map(F.lit, ("none", "forest", "snow", "mask"))), (i % 4 + 1).cast("int"))
-    r = samples(spark, sf_dir).select("event_id", (1500 - F.col("value")).alias("ground"), mode.alias("mode"), ((i % 10).cast("double") / 10).alias("mask"), F.coalesce(bank, F.lit(0.0)).alias("bank"), (part(17, 200) / 100 - 1).alias("z"), (part(31, 100) / 100).alias("u1"), (part(47, 100) / 100).alias("u2"))
+    r = samples(spark, sf_dir).select("event_id", (1500 - F.col("value")).alias("ground"), mode.alias("mode"), ((i % 10).cast("double") / 10).alias("mask"), bank.alias("bank"), (part(17, 200) / 100 - 1).alias("z"), (part(31, 100) / 100).alias("u1"), (part(47, 100) / 100).alias("u2"))
     z = F.col("z")
     agl = S.reading(F.lit(1500.0), F.col("ground"), S.surface_bias(F.col("mode"), 4.0, F.col("mask")), F.col("bank"), F.lit(2.5), z, F.col("u1"), z, F.col("u2"), 0.03, 40.0, 0.05)
     return r.select("event_id", F.round(agl, 5).alias("agl"))

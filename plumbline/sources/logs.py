@@ -39,7 +39,7 @@ def read_truth(spark: SparkSession, path: str, fallback_dt_s: float = 0.2) -> Da
     t = t.withColumn("timestamp_s", F.coalesce("timestamp_s", F.col("index") * fallback_dt_s))
     w = W.partitionBy(F.lit(0)).orderBy("index")
     d, b = geo.sphere_inverse(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
-    v = d / F.greatest(F.col("timestamp_s") - F.lag("timestamp_s").over(w), F.lit(1e-6))
+    v = d / F.greatest(F.col("timestamp_s") - F.lag("timestamp_s").over(w), F.lit(1e-6))  # null for the first row, as d is
     m = t.withColumn("_v", v).withColumn("_b", b)
     return m.select("index", "timestamp_s", "lat", "lon", F.coalesce("_v", F.lead("_v").over(w), F.lit(0.0)).alias("speed_mps"), F.coalesce("_b", F.lead("_b").over(w), F.lit(0.0)).alias("azimuth_deg"))
 
