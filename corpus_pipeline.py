@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier chain, trained on the labelled documents of sf_dir, calls toxic."""
-    chain = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    chain = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
     return toxicity.without_toxic(docs, chain)
 
 

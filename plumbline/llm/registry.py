@@ -32,7 +32,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), Scratch(spark)))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import short_batches
+from .store import Scratch, parts, short_batches
 from .textops import as_bytes
 
 #: Labelled documents that training takes at most, in expectation, of those with and those without the label; chosen by a hash of doc_id.
@@ -73,14 +73,12 @@ class Chain:
         self.vocabulary, self.names, self.models = vocabulary, names, models
 
     @classmethod
-    def fit(cls, docs: list[set[str]], y: dict[str, np.ndarray], fold: np.ndarray) -> Chain:
-        """docs: features of each document; y: 0/1 for each category, in the order of the chain; fold: of each document."""
-        names = list(y)
-        vocabulary = select(docs, y[names[-1]])
-        pairs = [(i, vocabulary[f]) for i, d in enumerate(docs) for f in sorted(d) if f in vocabulary]
-        rows, cols = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
-        values, n, width = np.ones(len(pairs)), len(docs), len(vocabulary)
-        models = []
+    def fit(cls, vocabulary: dict[str, int], found: list[list[int]], y: dict[str, np.ndarray], fold: np.ndarray) -> Chain:
+        """found: columns of each document; y: 0/1 for each category, in the order of the chain; fold: of each document."""
+        names, n, width = list(y), len(found), len(vocabulary)
+        cols = np.array([c for x in found for c in sorted(x)], np.int64)
+        rows = np.repeat(np.arange(n), [len(x) for x in found])
+        values, models = np.ones(len(cols)), []
         for k, name in enumerate(names):
             models.append(Logistic.fit(rows, cols, values, y[name], width + k))
             if k + 1 == len(names):
@@ -98,7 +96,7 @@ class Chain:
     def predict(self, docs: list[set[str]]) -> np.ndarray:
         """Probabilities: a row for each document, a column for each category."""
         out, width = np.zeros((len(docs), len(self.models))), len(self.vocabulary)
-        found = [[self.vocabulary[f] for f in d if f in self.vocabulary] for d in docs]
+        found = [columns(self.vocabulary, d) for d in docs]
         cols = np.array([c for x in found for c in sorted(x)], np.int64)
         rows = np.repeat(np.arange(len(docs)), [len(x) for x in found])
         for k, model in enumerate(self.models):
@@ -107,20 +105,26 @@ class Chain:
         return out
 
 
-def select(docs: list[set[str]], y: np.ndarray) -> dict[str, int]:
+def columns(vocabulary: dict[str, int], found: set[str]) -> list[int]:
+    return [vocabulary[f] for f in found if f in vocabulary]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each feature of each document."""
+    for batch in batches:
+        for toxic, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            f = sorted(features(words))
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(np.full(len(f), toxic), pa.int32())], ["feature", "toxic"])
+
+
+def select(sample: DataFrame) -> dict[str, int]:
     """Features that speak for the category: in three of its documents or more, with a log of the ratio of smoothed shares of EVIDENCE standard errors or more; the FEATURES of most evidence."""
-    counts: dict[str, list[int]] = {}
-    for d, label in zip(docs, y, strict=True):
-        for f in d:
-            counts.setdefault(f, [0, 0])[int(label)] += 1
-    n1, n0 = y.sum(), len(y) - y.sum()
-    scored = []
-    for f, (a, b) in counts.items():
-        if b >= 3:
-            ratio = np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1))
-            if (z := ratio / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))) >= EVIDENCE:
-                scored.append((-z, f))
-    return {f: k for k, (_, f) in enumerate(sorted(scored)[:FEATURES])}
+    size = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("n1")).first()
+    counts = sample.select("doc_id", "toxic", "words").mapInArrow(_counted, "feature string, toxic int").groupBy("feature").agg(F.sum("toxic").alias("b"), F.count(F.lit(1)).alias("c"))
+    a, b = F.col("c") - F.col("b") + 0.5, F.col("b") + 0.5
+    z = (F.log(b / ((size.n1 or 0) + 1)) - F.log(a / (size.n - (size.n1 or 0) + 1))) / F.sqrt(1 / a + 1 / b)
+    got = counts.where("b >= 3").select("feature", z.alias("z")).where(F.col("z") >= EVIDENCE).orderBy(F.desc("z"), "feature").limit(FEATURES).collect()
+    return {r.feature: k for k, r in enumerate(got)}
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +133,17 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([" ".join(sorted(set(_WORD.findall(t.decode(errors="ignore").lower())))) for t in as_bytes(batch.column(2))])], ["doc_id", "toxic", "words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Chain | None:
+def _rows(vocabulary: dict[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(w) for w in batch.column(2).to_pylist()]
+            seeded = [pa.array([bool(f.intersection(seeds)) for f in found], pa.bool_()) for seeds in SEEDS.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(columns(vocabulary, f)) for f in found], pa.list_(pa.int32())), *seeded], ["doc_id", "toxic", "found", *SEEDS])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Chain | None:
     """Trains on labelled documents: docs doc_id, text; labels doc_id, toxic 0/1 (null labels and ids are left out). None without any."""
     known = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect() if r.toxic in (0, 1)}
@@ -140,14 +154,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Chain | None:
     # the sample is bounded by TOXIC_ROWS + OTHER_ROWS ids, so it can be sent everywhere
     own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     with short_batches(docs.sparkSession):
-        got = own.mapInArrow(_texts, "doc_id bigint, toxic int, words string").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
+        sample = scratch.write(own.mapInArrow(_texts, "doc_id bigint, toxic int, words string").repartition(parts(docs.sparkSession)), "labelled")
+        vocabulary = select(sample)
+        got = sample.mapInArrow(_rows(vocabulary), "doc_id bigint, toxic int, found array<int>, " + ", ".join(f"{s} boolean" for s in SEEDS)).orderBy("doc_id", "toxic", "found").toArrow()
+    scratch.drop("labelled")
     if not got.num_rows:
         return None
-    found = [features(t) for t in got["words"].to_pylist()]
     toxic = got["toxic"].to_numpy().astype(float)
-    y = {name: toxic * np.array([bool(f.intersection(seeds)) for f in found]) for name, seeds in SEEDS.items()} | {"toxic": toxic}
+    y = {name: toxic * got[name].to_numpy() for name in SEEDS} | {"toxic": toxic}
     fold = (got["doc_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % FOLDS
-    return Chain.fit(found, y, fold.astype(int))
+    return Chain.fit(vocabulary, got["found"].to_pylist(), y, fold.astype(int))
 
 
 def _scored(chain: Chain | None):

@@ -3,12 +3,13 @@ import random
 import numpy as np
 
 from plumbline.llm import toxicity as T
+from plumbline.llm.store import Scratch
 
 
 def test_held_out(spark):
     """Trains on labels of even ids, tries the others."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    chain = T.fit(docs, labels.where("doc_id % 2 = 0"))
+    chain = T.fit(docs, labels.where("doc_id % 2 = 0"), Scratch(spark))
     got = {r.doc_id: r for r in T.score(docs, chain).collect()}
     rest = labels.where("doc_id % 2 = 1").collect()
     toxic = [got[r.doc_id].toxic for r in rest if r.toxic]
@@ -27,13 +28,13 @@ def test_odd_rows(spark):
     rows += [(300, None, 1), (301, "", 1), (None, "x", 1), (5, "idiot", 1), (5, "idiot", 1), (302, "word " * 100_000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(250)] + [(None, 1), (3, None), (300, 0), (999, 1)], "doc_id long, toxic int")
-    chain = T.fit(docs, labels)
+    chain = T.fit(docs, labels, Scratch(spark))
     got = {r.doc_id: r.toxic for r in T.score(docs, chain).collect()}
     assert len(T.score(docs, chain).collect()) == len(rows)
     assert all(got[i] == (i % 5 == 0) for i in range(300)) and not got[300] and not got[301] and not got[302]
     assert T.without_toxic(docs, chain).columns == docs.columns
     assert T.score(docs.limit(0), chain).count() == 0
-    assert T.fit(docs, labels.limit(0)) is None and T.without_toxic(docs, None).count() == len(rows)
+    assert T.fit(docs, labels.limit(0), Scratch(spark)) is None and T.without_toxic(docs, None).count() == len(rows)
 
 
 def test_chain_uses_earlier_categories():
@@ -41,6 +42,7 @@ def test_chain_uses_earlier_categories():
     rng = np.random.default_rng(3)
     first = rng.random(600) < 0.5
     docs = [{f"a{rng.integers(3)}" if x else f"b{rng.integers(3)}", f"n{rng.integers(20)}"} for x in first]
-    chain = T.Chain.fit(docs, {"one": first.astype(float), "two": first.astype(float)}, rng.integers(0, T.FOLDS, 600))
+    vocabulary = {f: k for k, f in enumerate(sorted({f for d in docs for f in d}))}
+    chain = T.Chain.fit(vocabulary, [T.columns(vocabulary, d) for d in docs], {"one": first.astype(float), "two": first.astype(float)}, rng.integers(0, T.FOLDS, 600))
     assert chain.models[1].weights[len(chain.vocabulary)] > 0.5
     assert ((chain.predict(docs)[:, 1] > 0.5) == first).all()
