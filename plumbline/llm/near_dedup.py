@@ -175,6 +175,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     tried = one.join(sets.select(F.col("id").alias("pivot"), "s"), "pivot").select("pivot", "id", F.size("s1").cast("bigint").alias("n"), (100 * both >= percent * (F.size("s1") + F.size("s") - both)).alias("ok"))
     tried = scratch.write(tried, "tried")
     groups = tried.groupBy("pivot").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all"), F.count_if(~F.col("ok")).alias("out"), F.sum(F.when(~F.col("ok"), F.col("n"))).alias("out_all")).where("out > 0 and rows > 1")
+    # a table, so that the join on the pivot can split the rows of a large group
+    groups = scratch.write(groups, "groups")
     blocks = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK_ROWS), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("int")
     members = tried.join(groups.select("pivot", blocks("rows", "all").alias("mb"), blocks("out", "out_all").alias("sb")), "pivot")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -182,7 +184,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     sides = members.where("not ok").select("pivot", "id", "ok", own("sb").alias("i"), upto("mb").alias("j"), F.lit(True).alias("stray")).union(members.select("pivot", "id", "ok", upto("sb").alias("i"), own("mb").alias("j"), F.lit(False).alias("stray")).select("pivot", "id", "ok", "i", "j", "stray"))
     late = sides.join(sets, "id").groupBy("pivot", "i", "j").applyInArrow(_block(percent), "a bigint, b bigint")
     links = scratch.write(late.union(tried.where("ok").select(F.col("id").alias("a"), F.col("pivot").alias("b"))).distinct(), "links")
-    scratch.drop("pairs", "sets", "tried")
+    scratch.drop("pairs", "sets", "tried", "groups")
     classes = components(links, scratch)
     at = reps.join(classes, reps.rep == classes.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("least"))
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
@@ -195,3 +197,19 @@ def keep_first(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int =
     found = near_duplicates(docs, scratch, words, percent)
     out = found.where("not kept").select("doc_id").distinct()
     return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+
+
+#: near_duplicates(documents, words=3, percent=85) as SQL: all pairs that share a shingle, and reachability over links.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(generate_series(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 2], ' ')) END)) AS s FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id > b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN least l USING (doc_id)
+"""
