@@ -309,8 +309,9 @@ def repeats(docs: DataFrame, scratch: Scratch) -> Repeats:
     with short_batches(docs.sparkSession):
         found = scratch.write(texts.select("rid", "text").mapInArrow(_fragments, "anchor bigint, whole bigint, rid bigint, at bigint"), "fragments")
         again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
-        found = scratch.write(found.join(again, "anchor"), "repeated")
-        scratch.drop("fragments")
+        # both sides of the join are tables, so that a partition with a very common anchor can be split
+        found = scratch.write(found.join(scratch.write(again, "again"), "anchor"), "repeated")
+        scratch.drop("fragments", "again")
         length = F.col("at").bitwiseAND(511)
         found = found.withColumn("length", length)
         same = found.groupBy("anchor", "whole", "length").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "at")).alias("r"), F.bool_and("mixed").alias("mixed"))
