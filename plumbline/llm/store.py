@@ -35,7 +35,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.top}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        # snappy, as zstd holds native memory beside the heap for every writer until the garbage collector comes by
+        df.write.option("compression", "snappy").parquet(path)
         self.paths[name] = path
         self.release()
         return self.spark.read.schema(df.schema).parquet(path)

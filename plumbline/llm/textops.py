@@ -15,7 +15,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _WORD = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 #: UTF-8 bytes with A-Z lower-cased and all other ASCII bytes but 0-9 and a-z as spaces.
 NORMAL = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _WORD else 0x20 for c in range(256))
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
