@@ -164,3 +164,18 @@ def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     parts = _sent(spark, items)
     with short_batches(spark):
         return docs.mapInArrow(_clean(parts, docs.columns.index("text")), docs.schema)
+
+
+#: The digest columns of contamination(documents, benchmark) as SQL: an equi-join of all windows of each length that items have.
+SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS w FROM iw, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(ws) - 9))) AS i) WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, n, unnest(generate_series(1, len(ws) - n + 1)) AS p, ws FROM dw, sizes WHERE len(ws) >= n),
+found AS (SELECT doc_id, p, x.n, item_id FROM places q JOIN windows x ON x.n = q.n AND x.w = array_to_string(q.ws[q.p:q.p + q.n - 1], ' ')),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS k FROM found) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""

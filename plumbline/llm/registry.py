@@ -68,4 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op4_url_filter": url_filter.SQL}
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": near_dedup.SQL,
+    "op3_suffix_dedup": suffix_dedup.SQL,
+    "op4_url_filter": url_filter.SQL,
+    "op7_decontamination": decontaminate.SQL,
+}

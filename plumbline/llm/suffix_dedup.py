@@ -384,3 +384,16 @@ def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("_rest_").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return changed.select(*docs.columns)
+
+
+#: digests(documents) as SQL over all windows, in hexadecimal text.
+SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+starts AS (SELECT doc_id, x, unnest(generate_series(0, len(x) // 2 - 1)) AS p FROM h WHERE x <> ''),
+bytes AS (SELECT doc_id, p, substr(x, p * 2 + 1, 2) AS byte, CASE WHEN p * 2 + 400 <= len(x) THEN md5(substr(x, p * 2 + 1, 400)) END AS m FROM starts),
+again AS (SELECT m FROM bytes WHERE m IS NOT NULL GROUP BY m HAVING count(*) > 1),
+marked AS (SELECT doc_id, p, byte, count(a.m) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) > 0 AS gone FROM bytes b LEFT JOIN again a ON a.m = b.m),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM marked),
+summed AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, count(*) FILTER (begins) AS k, coalesce(string_agg(byte, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM edges GROUP BY doc_id)
+SELECT h.doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(r, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN summed USING (doc_id)
+"""
