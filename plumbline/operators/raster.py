@@ -44,3 +44,9 @@ def downsample(tiles: DataFrame, factor: int) -> DataFrame:
 def to_pixel(lat: Column, lon: Column, north: float, west: float, cell: float) -> tuple[Column, Column]:
     """Fractional (row, column) of a place, by an upright affine; no shift by half a cell."""
     return (F.lit(north) - lat) / cell, (lon - west) / cell
+
+
+def along_route(tiles: DataFrame, points: DataFrame, radius: int) -> DataFrame:
+    """The tiles within radius rows of any point (r): what a route needs, to be kept or cached before it is flown."""
+    rows = points.select(F.explode(F.sequence(F.floor("r") - radius, F.floor("r") + radius)).alias("row")).distinct()
+    return tiles.join(rows, "row", "left_semi")

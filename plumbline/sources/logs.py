@@ -34,14 +34,14 @@ def read_heights(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_truth(spark: SparkSession, path: str, fallback_dt_s: float = 0.2) -> DataFrame:
-    """A truth table with speed and bearing derived from its neighbours (the first row has those of the second)."""
-    t = spark.read.option("header", True).schema(TRUTH).csv(path)
+    """Truth tables, a track in each file, with speed and bearing derived from the neighbours (the first row has those of the second)."""
+    t = spark.read.option("header", True).schema(TRUTH).csv(path).withColumn("file", F.col("_metadata.file_path"))
     t = t.withColumn("timestamp_s", F.coalesce("timestamp_s", F.col("index") * fallback_dt_s))
-    w = W.partitionBy(F.lit(0)).orderBy("index")
+    w = W.partitionBy("file").orderBy("index")
     d, b = geo.sphere_inverse(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
     v = d / F.greatest(F.col("timestamp_s") - F.lag("timestamp_s").over(w), F.lit(1e-6))  # null for the first row, as d is
     m = t.withColumn("_v", v).withColumn("_b", b)
-    return m.select("index", "timestamp_s", "lat", "lon", F.coalesce("_v", F.lead("_v").over(w), F.lit(0.0)).alias("speed_mps"), F.coalesce("_b", F.lead("_b").over(w), F.lit(0.0)).alias("azimuth_deg"))
+    return m.select("file", "index", "timestamp_s", "lat", "lon", F.coalesce("_v", F.lead("_v").over(w), F.lit(0.0)).alias("speed_mps"), F.coalesce("_b", F.lead("_b").over(w), F.lit(0.0)).alias("azimuth_deg"))
 
 
 def read_trajectory(spark: SparkSession, path: str) -> DataFrame:
@@ -50,10 +50,10 @@ def read_trajectory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def heights_to_sentences(heights: DataFrame, by: list[str], hz: float, start_ms: int = 0, terrain: bool = False, baro_m: float = 1500.0) -> DataFrame:
-    """A sentence for each height in the order of by; terrain heights become baro - height."""
-    i = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*by)) - 1
+    """A sentence for each height of a file in the order of by; terrain heights become baro - height."""
+    i = F.row_number().over(W.partitionBy("file").orderBy(*by)) - 1
     h = F.lit(baro_m) - F.col("height_m") if terrain else F.col("height_m")
-    return heights.select(*by, sentence.build(clock.token((F.round(i * (1000.0 / hz)) + start_ms).cast("bigint")), h).alias("line"))
+    return heights.select("file", *by, sentence.build(clock.token((F.round(i * (1000.0 / hz)) + start_ms).cast("bigint")), h).alias("line"))
 
 
 def write_sentences(df: DataFrame, by: list[str], path: str) -> None:

@@ -12,7 +12,7 @@ from plumbline.functions import clock, geo, sentence
 from plumbline.operators import engine as E
 from plumbline.operators import features, filters, match, raster, simulate
 from plumbline.operators import ordered as O
-from plumbline.sources import datagrams, logs
+from plumbline.sources import datagrams, grids, logs
 from plumbline.streaming import navigation as N
 from plumbline.streaming.run import drained
 
@@ -222,3 +222,11 @@ def test_stream_equals_batch(spark, tmp_path):
     screen: dict = {}
     N.keep_latest(screen)(N.navigate(frames, eng), 0)
     assert set(screen) == {0, 1, 2} and all(s.window_id == 14 for s in screen.values())
+
+
+def test_text_grids(spark, tmp_path):
+    (tmp_path / "g.asc").write_text("ncols 3\nnrows 2\nxllcorner 10.0\nyllcorner 50.0\ncellsize 0.5\nNODATA_value -9999\n1 2.5 -9999\n 4 5 6 \n")
+    tiles, grid = grids.read_text_grid(spark, str(tmp_path / "g.asc"))
+    assert grid == grids.Grid(10.0, 51.0, 0.5, 2, 3)
+    grids.write_tiles(tiles, str(tmp_path / "t"))
+    assert [(r.row, r["values"]) for r in spark.read.parquet(str(tmp_path / "t")).orderBy("row").collect()] == [(0, [1.0, 2.5, None]), (1, [4.0, 5.0, 6.0])]
