@@ -7,8 +7,9 @@ DAY_MS = 86_400_000
 
 
 def micros(ts: str = "ts") -> Column:
-    """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
+    """Microseconds since 1970 of a timestamp without time zone, from its fields, so that the session's zone doesn't count."""
+    day, c = F.unix_date(F.to_date(F.col(ts))).cast("bigint"), F.col(ts)
+    return (day * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60) * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
 
 
 def day_ms(ts: str = "ts") -> Column:

@@ -50,6 +50,14 @@ def test_sentences(spark):
         assert made.f.valid is ok and made.f.radar_alt_m == 10.0
     t = spark.range(1).select(clock.token(F.lit(86_400_000 + 3_723_004)).alias("t"), clock.seconds(F.lit("010203.004")).alias("s"), clock.seconds(F.lit("42.5")).alias("p")).first()
     assert (t.t, t.s, t.p) == ("010203.004", 3723.004, 42.5)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("America/New_York", zone):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            at = spark.sql("select timestamp_ntz'2024-07-01 02:30:15.123456' ts union all select timestamp_ntz'1969-12-31 23:59:59.5'").select(clock.micros().alias("us")).collect()
+            assert [r.us for r in at] == [1719801015123456, -500000]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_logs(spark, tmp_path):
