@@ -38,8 +38,10 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-#: Order of one vehicle's samples; event_id breaks ties.
-TRACK = W.partitionBy("user_id").orderBy("ts", "event_id")
+def track_order():
+    """Order of one vehicle's samples; event_id breaks ties."""
+    return W.partitionBy("user_id").orderBy("ts", "event_id")
+
 
 #: Of each sample: when within its day, whether it is valid, its height over ground, and a place and motion made from its numbers.
 SAMPLES_SQL = """samples AS (

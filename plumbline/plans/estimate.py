@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import angles
 from plumbline.operators import filters, raster
 
-from .base import SAMPLES_SQL, TRACK, Plans, r6, samples, table
+from .base import SAMPLES_SQL, track_order, Plans, r6, samples, table
 from .raster import BILINEAR_SQL, GRID_SQL, tiles
 
 plans = Plans()
@@ -96,7 +96,7 @@ def federated_fusion(spark, sf_dir):
     """Local filters merged by inverse spread; attitudes by the normalised mean of unit quaternions."""
     i = F.col("event_id")
     tenth = lambda n: (i % n).cast("double") / 10
-    f = samples(spark, sf_dir).withColumn("i", F.row_number().over(TRACK)).where("i <= 3")
+    f = samples(spark, sf_dir).withColumn("i", F.row_number().over(track_order())).where("i <= 3")
     f = f.select("user_id", F.col("value").alias("px"), F.col("lat").alias("vx"), F.col("lon").alias("vy"), F.lit(1.0).alias("q0"), tenth(7).alias("q1"), tenth(5).alias("q2"), tenth(3).alias("q3"), (1 / F.greatest((i % 50).cast("double"), F.lit(1e-6))).alias("w"))
     qs = ["q0", "q1", "q2", "q3"]
     norm = F.sqrt(sum((F.col(q) * F.col(q) for q in qs[1:]), F.col("q0") * F.col("q0")))
@@ -110,7 +110,7 @@ _COMPAT = f"""{SAMPLES_SQL}, p AS (SELECT event_id, (event_id % 40)::DOUBLE / 2
 
 @plans.add("mode_compatibility", f"WITH {_COMPAT} SELECT event_id, round(greatest(exp(-power(v / 3, 2)), 1e-6), 6) AS hover, round(greatest((1 - exp(-power(v / 8, 2))) * exp(-power(r / 2.5, 2)), 1e-6), 6) AS cruise, round(greatest((1 - exp(-power(v / 6, 2))) * (1 - exp(-power(r / 3, 2))) * (1 + least(r / 10, 3)), 1e-6), 6) AS turn FROM p")
 def mode_compatibility(spark, sf_dir):
-    turn = F.abs(angles.turn(F.lag("heading").over(TRACK), F.col("heading"))) / 20
+    turn = F.abs(angles.turn(F.lag("heading").over(track_order()), F.col("heading"))) / 20
     p = samples(spark, sf_dir).select("event_id", ((F.col("event_id") % 40).cast("double") / 2).alias("v"), F.coalesce(turn, F.lit(0.0)).alias("r"))
     fade = lambda c, s: F.exp(-F.pow(F.col(c) / s, F.lit(2.0)))
     fits = {"hover": fade("v", 3), "cruise": (1 - fade("v", 8)) * fade("r", 2.5), "turn": (1 - fade("v", 6)) * (1 - fade("r", 3)) * (F.least(F.col("r") / 10, F.lit(3.0)) + 1)}
@@ -120,7 +120,7 @@ def mode_compatibility(spark, sf_dir):
 def _tracks(spark, sf_dir):
     """Fixes of each vehicle: a planar path with its motion and covariance."""
     c = covariances(spark, sf_dir)
-    t = F.row_number().over(TRACK).cast("double") * 2
+    t = F.row_number().over(track_order()).cast("double") * 2
     return c.select("user_id", "event_id", t.alias("t"), (t * 10 + F.col("event_id") % 7).alias("east"), (t * 5 - F.col("event_id") % 5).alias("north"), F.lit(11.0).alias("speed"), F.lit(63.4).alias("heading"), "ee", "en", "nn")
 
 
@@ -232,7 +232,7 @@ def sitl_state_merge(spark, sf_dir):
     unit = lambda c, n: F.floor(c * n) / n
     speed = when(0, F.sqrt(F.pow(F.floor(F.col("speed") * 60) / 100, F.lit(2.0)) + F.pow(F.floor(F.col("speed") * 80) / 100, F.lit(2.0)))).when(kind == 1, F.col("speed"))
     head = F.when((kind == 0) & (F.col("event_id") % 4 != 0), unit(F.col("heading"), 100)).when(kind == 1, F.col("heading"))
-    w = TRACK.rowsBetween(W.unboundedPreceding, 0)
+    w = track_order().rowsBetween(W.unboundedPreceding, 0)
     last = lambda c: F.last(c, True).over(w)
     m = s.select("event_id", last(when(0, unit(F.col("lat"), 1e7))).alias("lat"), last(when(0, unit(F.col("lon"), 1e7))).alias("lon"), last(speed).alias("speed"), last(head).alias("h"), F.first(when(2, F.col("heading")), True).over(w).alias("y"))
     return m.where("lat is not null").select("event_id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.round(F.coalesce("speed", F.lit(0.0)), 5).alias("speed"), F.round(F.coalesce("h", "y", F.lit(0.0)), 5).alias("heading"), F.lit(1500.0).alias("alt_msl"))
@@ -241,7 +241,7 @@ def sitl_state_merge(spark, sf_dir):
 @plans.add("control_latest", f"WITH {SAMPLES_SQL} SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id % 2 = 0 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS enabled FROM samples")
 def control_latest(spark, sf_dir):
     """The latest command before each sample."""
-    w = TRACK.rowsBetween(W.unboundedPreceding, 0)
+    w = track_order().rowsBetween(W.unboundedPreceding, 0)
     return samples(spark, sf_dir).select("event_id", F.last(F.when(F.col("event_type") == "click", F.col("event_id") % 2 == 0), True).over(w).alias("enabled"))
 
 

@@ -12,7 +12,7 @@ from plumbline.operators import decide, filters
 from plumbline.operators.engine import Raster
 from plumbline.streaming.navigation import raster_of
 
-from .base import SAMPLES_SQL, TRACK, Plans, r6, samples
+from .base import SAMPLES_SQL, track_order, Plans, r6, samples
 from .decide import MATCH_SQL, matches
 from .ordered import _BEARING, _INVERSE, _sql
 from .raster import CELL, NORTH, WEST, tiles
@@ -61,14 +61,14 @@ def matched_offset(spark, sf_dir):
 def truth_rows(spark, sf_dir):
     """Rows of a truth table as it is written: fixed decimals, an index for each track."""
     s = samples(spark, sf_dir)
-    return s.select((F.row_number().over(TRACK) - 1).alias("index"), "user_id", F.round(F.col("ms") / 1000, 3).alias("timestamp_s"), F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), F.lit(1500.0).alias("alt_msl"), F.round(1500 - F.col("agl"), 3).alias("terrain_h"), F.round("agl", 3).alias("radar_alt_measured"))
+    return s.select((F.row_number().over(track_order()) - 1).alias("index"), "user_id", F.round(F.col("ms") / 1000, 3).alias("timestamp_s"), F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), F.lit(1500.0).alias("alt_msl"), F.round(1500 - F.col("agl"), 3).alias("terrain_h"), F.round("agl", 3).alias("radar_alt_measured"))
 
 
 @plans.add("route_history", f"""WITH {SAMPLES_SQL}, s AS (SELECT *, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run, max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id) AS any_reset FROM samples),
 l AS (SELECT *, max(run) OVER (PARTITION BY user_id) AS last FROM s) SELECT user_id, count(*)::BIGINT AS n, arg_max(event_type, (ts, event_id)) AS state, list(event_id ORDER BY ts DESC, event_id DESC)[1:5] AS latest FROM l WHERE run = last AND event_type <> 'signup' GROUP BY user_id""")
 def route_history(spark, sf_dir):
     """What a screen holds of each vehicle: states since the last reset (a signup), their number, the latest five."""
-    run = F.sum((F.col("event_type") == "signup").cast("int")).over(TRACK.rowsBetween(W.unboundedPreceding, 0))
+    run = F.sum((F.col("event_type") == "signup").cast("int")).over(track_order().rowsBetween(W.unboundedPreceding, 0))
     s = samples(spark, sf_dir).withColumn("run", run)
     last = s.groupBy("user_id").agg(F.max("run").alias("last"))
     now = s.join(last, "user_id").where("run = last and event_type <> 'signup'").withColumn("back", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))))

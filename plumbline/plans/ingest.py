@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import angles, clock, sentence
 
-from .base import SAMPLES_SQL, TRACK, Plans, r6, samples, table
+from .base import SAMPLES_SQL, track_order, Plans, r6, samples, table
 
 plans = Plans()
 
@@ -61,7 +61,7 @@ def read_window_limit(spark, sf_dir):
 
 @plans.add("valid_frame_index", f"WITH {_PARSED} SELECT event_id, valid, coalesce(sum(valid::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS frame_index FROM parsed")
 def valid_frame_index(spark, sf_dir):
-    before = TRACK.rowsBetween(W.unboundedPreceding, -1)
+    before = track_order().rowsBetween(W.unboundedPreceding, -1)
     return frames(spark, sf_dir).select("event_id", "valid", F.coalesce(F.sum(F.col("valid").cast("bigint")).over(before), F.lit(0)).cast("bigint").alias("frame_index"))
 
 
@@ -69,7 +69,7 @@ def valid_frame_index(spark, sf_dir):
   SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id))::DOUBLE / 1000000 AS dt FROM parsed WHERE valid AND radar_alt_m IS NOT NULL
 ) SELECT user_id, count(*)::BIGINT + 1 AS n_valid, round(1 / median(dt), 9) AS hz FROM steps WHERE dt > 0.000001 GROUP BY user_id""")
 def infer_frequency(spark, sf_dir):
-    dt = (clock.micros() - F.lag(clock.micros()).over(TRACK)).cast("double") / 1_000_000
+    dt = (clock.micros() - F.lag(clock.micros()).over(track_order())).cast("double") / 1_000_000
     return frames(spark, sf_dir).where("valid and radar_alt_m is not null").select("user_id", dt.alias("dt")).where("dt > 0.000001").groupBy("user_id").agg((F.count(F.lit(1)) + 1).alias("n_valid"), F.round(1 / F.median("dt"), 9).alias("hz"))
 
 
@@ -78,7 +78,7 @@ def infer_frequency(spark, sf_dir):
 ) SELECT event_id, round(ratio, 6) AS ratio, ratio > 0.05 AS warn FROM seen WHERE n = 20""")
 def invalid_ratio_monitor(spark, sf_dir, size: int = 20, most: float = 0.05):
     """The share of invalid samples among the last size ones, once so many are seen."""
-    last = TRACK.rowsBetween(1 - size, 0)
+    last = track_order().rowsBetween(1 - size, 0)
     seen = samples(spark, sf_dir).select("event_id", F.count(F.lit(1)).over(last).alias("n"), F.avg((~F.col("valid")).cast("int")).over(last).alias("ratio"))
     return seen.where(F.col("n") == size).select("event_id", r6("ratio").alias("ratio"), (F.col("ratio") > most).alias("warn"))
 

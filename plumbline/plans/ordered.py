@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import angles, geo
 from plumbline.operators import ordered as O
 
-from .base import SAMPLES_SQL, TRACK, Plans, r6, samples
+from .base import SAMPLES_SQL, track_order, Plans, r6, samples
 
 plans = Plans()
 R = geo.RADIUS_M
@@ -80,7 +80,7 @@ def baro_asof_interp(spark, sf_dir):
 a AS (SELECT p.*, k.i AS i0, k.agl AS v0 FROM p ASOF LEFT JOIN k ON p.user_id = k.user_id AND p.i >= k.i), b AS (SELECT a.*, k.i AS i1, k.agl AS v1 FROM a ASOF LEFT JOIN k ON a.user_id = k.user_id AND a.i <= k.i)
 SELECT event_id, round(coalesce(agl, v0 + (v1 - v0) * (i - i0)::DOUBLE / (i1 - i0), v0, v1), 6) AS filled FROM b""")
 def gap_fill_linear(spark, sf_dir):
-    return samples(spark, sf_dir).withColumn("i", F.row_number().over(TRACK)).select("event_id", r6(O.gap_fill(F.col("agl"), F.col("i"), TRACK)).alias("filled"))
+    return samples(spark, sf_dir).withColumn("i", F.row_number().over(track_order())).select("event_id", r6(O.gap_fill(F.col("agl"), F.col("i"), track_order())).alias("filled"))
 
 
 _INVERSE = """CASE WHEN {0} IS NOT NULL THEN 2 * {R} * asin(least(sqrt(power(sin((radians({2}) - radians({0})) / 2), 2) + cos(radians({0})) * cos(radians({2})) * power(sin(radians({3} - {1}) / 2), 2)), 1)) END"""
@@ -99,15 +99,15 @@ motion AS (SELECT event_id, user_id, ts, d, d / greatest(t - t0, 0.000001) AS v,
 @plans.add("consecutive_motion", f"""WITH {_MOTION} SELECT event_id, round(coalesce(v, lead(v) OVER w), 4) AS speed, round(coalesce(b, lead(b) OVER w), 6) AS bearing FROM motion WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def consecutive_motion(spark, sf_dir):
     """Speed and bearing since the sample before; the first sample has those of the second."""
-    d, b = geo.sphere_inverse(F.lag("lat").over(TRACK), F.lag("lon").over(TRACK), F.col("lat"), F.col("lon"))
-    v = d / F.greatest(F.col("t") - F.lag("t").over(TRACK), F.lit(0.000001))
+    d, b = geo.sphere_inverse(F.lag("lat").over(track_order()), F.lag("lon").over(track_order()), F.col("lat"), F.col("lon"))
+    v = d / F.greatest(F.col("t") - F.lag("t").over(track_order()), F.lit(0.000001))
     m = samples(spark, sf_dir).select("event_id", "user_id", "ts", v.alias("v"), b.alias("b"))
-    return m.select("event_id", F.round(F.coalesce("v", F.lead("v").over(TRACK)), 4).alias("speed"), r6(F.coalesce("b", F.lead("b").over(TRACK))).alias("bearing"))
+    return m.select("event_id", F.round(F.coalesce("v", F.lead("v").over(track_order())), 4).alias("speed"), r6(F.coalesce("b", F.lead("b").over(track_order()))).alias("bearing"))
 
 
 @plans.add("route_length", f"WITH {_MOTION} SELECT user_id, round(coalesce(sum(d), 0), 3) AS metres, count(*)::BIGINT AS n FROM motion GROUP BY user_id")
 def route_length(spark, sf_dir):
-    d, _ = geo.sphere_inverse(F.lag("lat").over(TRACK), F.lag("lon").over(TRACK), F.col("lat"), F.col("lon"))
+    d, _ = geo.sphere_inverse(F.lag("lat").over(track_order()), F.lag("lon").over(track_order()), F.col("lat"), F.col("lon"))
     return samples(spark, sf_dir).select("user_id", d.alias("d")).groupBy("user_id").agg(F.round(F.coalesce(F.sum("d"), F.lit(0.0)), 3).alias("metres"), F.count(F.lit(1)).alias("n"))
 
 
@@ -116,12 +116,12 @@ d AS (SELECT *, CASE WHEN t - t0 <= 0 OR t - t0 > 3 / 0.001 THEN 1 / 0.001 ELSE
 SELECT event_id, round(coalesce(sum(v * sin(h) * dt) OVER w, 0), 3) AS east, round(coalesce(sum(v * cos(h) * dt) OVER w, 0), 3) AS north FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def dead_reckoning(spark, sf_dir, hz: float = 0.001):
     """Planar path from speeds and headings: trapezoid speed, mid heading, steps that can't be at their rate replaced by 1 / hz."""
-    gap, h0 = F.col("t") - F.lag("t").over(TRACK), F.lag("heading").over(TRACK)
+    gap, h0 = F.col("t") - F.lag("t").over(track_order()), F.lag("heading").over(track_order())
     dt = F.when((gap <= 0) | (gap > 3 / hz), F.lit(1 / hz)).otherwise(gap)
-    v = (F.lag("speed").over(TRACK) + F.col("speed")) / 2
+    v = (F.lag("speed").over(track_order()) + F.col("speed")) / 2
     h = F.radians(h0 + angles.turn(h0, F.col("heading")) / 2)
     d = samples(spark, sf_dir).select("event_id", "user_id", "ts", (v * F.sin(h) * dt).alias("e"), (v * F.cos(h) * dt).alias("n"))
-    path = TRACK.rowsBetween(W.unboundedPreceding, 0)
+    path = track_order().rowsBetween(W.unboundedPreceding, 0)
     return d.select("event_id", F.round(F.coalesce(F.sum("e").over(path), F.lit(0.0)), 3).alias("east"), F.round(F.coalesce(F.sum("n").over(path), F.lit(0.0)), 3).alias("north"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import angles
 from plumbline.operators import simulate as S
 
-from .base import SAMPLES_SQL, TRACK, Plans, r6, samples
+from .base import SAMPLES_SQL, track_order, Plans, r6, samples
 
 plans = Plans()
 
@@ -41,7 +41,7 @@ b AS (SELECT *, CASE mode WHEN 'none' THEN 0 WHEN 'mask' THEN CASE WHEN mask > 0
 def sim_sensor_model(spark, sf_dir):
     i = F.col("event_id")
     part = lambda k, n: (i * k % n).cast("double")
-    bank = F.least(F.coalesce(F.abs(angles.turn(F.lag("heading").over(TRACK), F.col("heading"))), F.lit(0.0)) * 0.5, F.lit(25.0))
+    bank = F.least(F.coalesce(F.abs(angles.turn(F.lag("heading").over(track_order()), F.col("heading"))), F.lit(0.0)) * 0.5, F.lit(25.0))
     mode = F.element_at(F.array(*map(F.lit, ("none", "forest", "snow", "mask"))), (i % 4 + 1).cast("int"))
     r = samples(spark, sf_dir).select("event_id", (1500 - F.col("value")).alias("ground"), mode.alias("mode"), ((i % 10).cast("double") / 10).alias("mask"), bank.alias("bank"), (part(17, 200) / 100 - 1).alias("z"), (part(31, 100) / 100).alias("u1"), (part(47, 100) / 100).alias("u2"))
     z = F.col("z")
