@@ -99,3 +99,34 @@ def kernel_heatmap(reference: DataFrame, measured: DataFrame, scale: float) -> D
             yield _cells(batch.column(0), hybrid_scores(_windows(batch.column(1), len(h)), h, scale))
 
     return reference.select("az", "profile").mapInArrow(run, "az int, off int, score double")
+
+
+def kernel_best(reference: DataFrame, windows: DataFrame, scale: float) -> DataFrame:
+    """window_id, az, off, score: the best cell of each measured window of equal length, by one matrix product for each batch of references.
+
+    windows: window_id, h (complete; a set that the caller bounds, sent along). Each batch keeps its best cell of every window, so
+    what is shuffled is a row for each window and batch, not the heatmaps. Of equal cells the least az, then off.
+    """
+    rows = sorted((r["window_id"], r["h"]) for r in windows.select("window_id", "h").collect())
+    ids, h = np.array([i for i, _ in rows], np.int64), np.array([x for _, x in rows], float)
+    n = h.shape[1]
+    c = (h - h.mean(axis=1, keepdims=True)).T
+    sd, hh = h.std(axis=1), (h * h).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                az = batch.column(0).slice(k, 256).to_numpy()
+                w = np.ascontiguousarray(_windows(batch.column(1).slice(k, 256), n))
+                square, mean = np.einsum("...k,...k->...", w, w)[..., None], w.mean(axis=-1)[..., None]
+                spread = np.sqrt(np.maximum(square / n - mean**2, 0)) * sd
+                ncc = np.where(spread > 1e-12, (w @ c) / n / np.where(spread > 1e-12, spread, 1), 0.0)
+                score = 0.5 * ncc + 0.5 / (1 + np.maximum((square - 2 * (w @ h.T) + hh) / n, 0) / scale)
+                flat = score.reshape(-1, len(ids))
+                top = flat.argmax(axis=0)
+                offs = score.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(az[top // offs], pa.int32()), pa.array((top % offs).astype(np.int32)), pa.array(flat[top, np.arange(len(ids))])], ["window_id", "az", "off", "score"])
+
+    cells = reference.select("az", "profile").mapInArrow(run, "window_id bigint, az int, off int, score double")
+    best = cells.groupBy("window_id").agg(F.max(F.struct("score", (-F.col("az")).alias("az"), (-F.col("off")).alias("off"))).alias("b"))
+    return best.select("window_id", (-F.col("b.az")).alias("az"), (-F.col("b.off")).alias("off"), F.col("b.score").alias("score"))

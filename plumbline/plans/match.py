@@ -225,3 +225,17 @@ def match_feature_metric(spark, sf_dir):
 def match_argmax_kernel(spark, sf_dir):
     """match_argmax by the numpy kernel: the form for many windows."""
     return M.best(features.kernel_heatmap(reference(spark, sf_dir), measured(spark, sf_dir), SCALE)).select("az", "off", r6("score").alias("score"))
+
+
+_MANY = f"""{REF_SQL}, meas AS (SELECT az AS window_id, pos - az % 33 AS i, v + 0.01::DOUBLE * (((pos - az % 33) * 7) % 5 - 2) AS h FROM ref WHERE az % 25 = 3 AND pos BETWEEN az % 33 AND az % 33 + {N - 1}),
+sums AS (SELECT window_id, az, r.pos - i AS off, covar_pop(v, h) AS cov, stddev_pop(v) AS sv, stddev_pop(h) AS sh, avg(power(v - h, 2)) AS d FROM ref r JOIN meas m ON r.pos - m.i BETWEEN 0 AND 64 - {N} GROUP BY ALL),
+scores AS (SELECT window_id, az, off, 0.5 * CASE WHEN sv * sh > 1e-12 THEN cov / (sv * sh) ELSE 0 END + 0.5 / (1 + d / {SCALE}) AS score FROM sums)"""
+
+
+@plans.add("match_many_windows", f"WITH {_MANY}, k AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY score DESC, az, off) AS i FROM scores) SELECT window_id, az::INT AS az, off::INT AS off, round(score, 6) AS score FROM k WHERE i = 1")
+def match_many_windows(spark, sf_dir):
+    """A window out of every 25th row against all rows and offsets; each has to find where it was taken from."""
+    ref = reference(spark, sf_dir)
+    part = F.slice("profile", F.col("az") % 33 + 1, N)
+    windows = ref.where("az % 25 = 3").select(F.col("az").cast("bigint").alias("window_id"), F.transform(part, lambda v, i: v + ((i * 7) % 5 - 2) * 0.01).alias("h"))
+    return features.kernel_best(ref, windows, SCALE).select("window_id", "az", "off", r6("score").alias("score"))
