@@ -193,10 +193,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
 
 
 def keep_first(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80) -> DataFrame:
-    """Documents of which no near duplicate has a lesser doc_id; their columns as they are. Rows with a null doc_id stay."""
+    """Documents of which no near duplicate has a lesser doc_id; their columns as they are. Of rows that repeat a doc_id and its text one stays. Rows with a null doc_id stay."""
     found = near_duplicates(docs, scratch, words, percent)
     out = found.where("not kept").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    twice = scratch.write(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(out.union(twice), "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(docs.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 #: near_duplicates(documents, words=3, percent=85) as SQL: all pairs that share a shingle, and reachability over links.
