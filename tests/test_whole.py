@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from plumbline.plans import estimate
+from plumbline.plans import decide, estimate
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -17,3 +17,13 @@ def test_ellipse_of_every_sample(spark):
         inverse = np.linalg.inv([[c.ee, c.en], [c.en, c.nn]])
         xy = g[["east", "north"]].to_numpy()
         assert np.allclose(np.sqrt(np.einsum("ij,jk,ik->i", xy, inverse, xy)), g["sigma"], atol=1e-3)
+
+
+def test_every_match_is_searched(spark):
+    """Each match has one reacquired centre, and three or four of the bearings 15 degrees apart."""
+    ids = set(range(decide.matches(spark, SMALL).count()))
+    assert {r.event_id for r in decide.matches(spark, SMALL).select("event_id").collect()} == ids
+    centres = [r.event_id for r in decide.local_reacquisition_all(spark, SMALL).collect()]
+    assert len(centres) == len(ids) and set(centres) == ids
+    bands = decide.azimuth_band_all(spark, SMALL).groupBy("event_id").count().collect()
+    assert {r.event_id for r in bands} == ids and {r["count"] for r in bands} <= {3, 4}
