@@ -1,7 +1,9 @@
 """Queries that must answer for every row of a table, against brute force or known counts."""
 
 import numpy as np
+import pytest
 
+from plumbline.operators import engine as E
 from plumbline.plans import decide, estimate
 
 SMALL = "/root/testdata/sf0.001"
@@ -27,3 +29,20 @@ def test_every_match_is_searched(spark):
     assert len(centres) == len(ids) and set(centres) == ids
     bands = decide.azimuth_band_all(spark, SMALL).groupBy("event_id").count().collect()
     assert {r.event_id for r in bands} == ids and {r["count"] for r in bands} <= {3, 4}
+
+
+@pytest.mark.parametrize(("second", "mode", "offset"), [(0.93, "terrain_update_accepted", 0.0), (0.85, "terrain_physical_gate_fallback:speed_jump", 90.0)])
+def test_second_peak_is_tried(monkeypatch, second, mode, offset):
+    """The best cell is too far from the last fix: the next peak is taken if its score is within 0.08, else none."""
+
+    def heat(w, h, scale):
+        x = np.full(w.shape[:2], 0.1)
+        x[0, 3], x[0, 0] = 0.95, second
+        return x
+
+    monkeypatch.setattr(E, "masked_scores", heat)
+    cells = 600 + 100 * np.random.default_rng(3).normal(size=(200, 200))
+    v = E.Vehicle(3000.0, 3000.0, 30.0, 0.0, fix=[3000.0, 3000.0 + 19 * 30 - 30])
+    row = E.Engine(E.Raster(cells, 30.0), E.Settings(dt_s=0.2)).feed(v, [(k, 900.0 + 50 * (k % 2)) for k in range(20)])[0]
+    assert (row["mode"], row["azimuth"], row["offset_m"], row["error"]) == (mode, 0.0, offset, None)
+    assert v.fix == ([3000.0, 3570.0] if second == 0.93 else [3000.0, 3540.0])
