@@ -46,3 +46,34 @@ def test_second_peak_is_tried(monkeypatch, second, mode, offset):
     row = E.Engine(E.Raster(cells, 30.0), E.Settings(dt_s=0.2)).feed(v, [(k, 900.0 + 50 * (k % 2)) for k in range(20)])[0]
     assert (row["mode"], row["azimuth"], row["offset_m"], row["error"]) == (mode, 0.0, offset, None)
     assert v.fix == ([3000.0, 3570.0] if second == 0.93 else [3000.0, 3540.0])
+
+
+def test_engine_searches_each_degree_and_two_kilometres():
+    """A start 1500 m off the predicted one, on a bearing of 37 degrees, is found by the engine as it is registered."""
+    rough = np.random.default_rng(5).normal(size=(400, 400))
+    for axis in (0, 1):
+        rough = np.apply_along_axis(lambda v: np.convolve(v, np.ones(5) / 5, "same"), axis, rough)
+    terrain = E.Raster(600 + 400 * rough, 30.0)
+    d = 1500 + 30.0 * np.arange(20)
+    h = terrain.sample(3000 + d * np.sin(np.radians(37)), 3000 + d * np.cos(np.radians(37)))
+    m, _ = E.Engine(terrain).match(E.Vehicle(3000.0, 3000.0, 30.0, 30.0), h)
+    assert (m["row"], m["col"]) == (37, 50) and m["peak"] > 0.999 and not m["ambiguous"]
+    eng = E.Engine(terrain)
+    assert list(eng.azimuths) == list(range(360)) and eng.s.offsets * eng.s.spacing_m <= 2000 < (eng.s.offsets + 1) * eng.s.spacing_m
+
+
+def test_scores_with_gaps():
+    """Against the definition, one window at a time."""
+    rng = np.random.default_rng(8)
+    ray, h = 1250 + 300 * rng.normal(size=(5, 30)), 1250 + 100 * rng.normal(size=8)
+    ray[rng.random(ray.shape) < 0.2], h[3], ray[4, :12] = np.nan, np.nan, 1300.0
+    w = np.lib.stride_tricks.sliding_window_view(ray, 8, axis=1)
+    got = E.masked_scores(w, h, 100.0)
+    for i, j in np.ndindex(got.shape):
+        ok = np.isfinite(w[i, j]) & np.isfinite(h)
+        a, b = w[i, j][ok], h[ok]
+        if ok.sum() < 4:
+            assert np.isnan(got[i, j])
+            continue
+        ncc = np.corrcoef(a, b)[0, 1] if a.std() > 0 else 0.0
+        assert got[i, j] == pytest.approx(0.5 * ncc + 0.5 / (1 + ((a - b) ** 2).mean() / 100), abs=1e-9)
