@@ -99,10 +99,20 @@ s AS (SELECT user_id, sum(w * px) / sum(w) AS px, sum(w * vx) / sum(w) AS vx, su
 
 @plans.add("federated_fusion", f"WITH {_FUSE} SELECT user_id, round(px, 5) AS px, round(vx, 5) AS vx, round(vy, 5) AS vy, " + ", ".join(f"round(q{k} / sqrt(q0 * q0 + q1 * q1 + q2 * q2 + q3 * q3), 6) AS q{k}" for k in range(4)) + " FROM s")
 def federated_fusion(spark, sf_dir):
+    """Of each vehicle the first three readings, as this query's SQL keeps them."""
+    return _fused(samples(spark, sf_dir).withColumn("i", F.row_number().over(track_order())).where("i <= 3"))
+
+
+@plans.add("federated_fusion_all", plans.oracles["federated_fusion"].replace(" WHERE i <= 3", ""))
+def federated_fusion_all(spark, sf_dir):
+    """All readings of each vehicle."""
+    return _fused(samples(spark, sf_dir))
+
+
+def _fused(f):
     """Local filters merged by inverse spread; attitudes by the normalised mean of unit quaternions."""
     i = F.col("event_id")
     tenth = lambda n: (i % n).cast("double") / 10
-    f = samples(spark, sf_dir).withColumn("i", F.row_number().over(track_order())).where("i <= 3")
     f = f.select("user_id", F.col("value").alias("px"), F.col("lat").alias("vx"), F.col("lon").alias("vy"), F.lit(1.0).alias("q0"), tenth(7).alias("q1"), tenth(5).alias("q2"), tenth(3).alias("q3"), (1 / F.greatest((i % 50).cast("double"), F.lit(1e-6))).alias("w"))
     qs = ["q0", "q1", "q2", "q3"]
     norm = F.sqrt(sum((F.col(q) * F.col(q) for q in qs[1:]), F.col("q0") * F.col("q0")))

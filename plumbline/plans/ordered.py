@@ -179,6 +179,19 @@ def truth_clamped_join(spark, sf_dir):
     return est.crossJoin(F.broadcast(rows)).select("idx", F.element_at("rows", F.least(F.col("idx") + 1, F.size("rows")).cast("int"))["lat"].alias("truth_lat"))
 
 
+@plans.add("truth_clamped_join_all", plans.oracles["truth_clamped_join"].replace(" WHERE idx < 100", ""))
+def truth_clamped_join_all(spark, sf_dir):
+    """Truth by its place in the list of all truth rows. Ranges of idx are numbered each by itself; their starts are sums of their counts, a row for each range."""
+    truth, est = truth_and_estimates(spark, sf_dir)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = truth.agg(F.min("idx").alias("low"), (F.max("idx") - F.min("idx") + 1).alias("span"), F.count(F.lit(1)).alias("n"))
+    ranged = truth.select("idx", "lat").crossJoin(F.broadcast(bounds)).withColumn("p", F.floor((F.col("idx") - F.col("low")) * parts / F.col("span")))
+    starts = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("m")).select("p", (F.sum("m").over(W.orderBy("p")) - F.col("m")).alias("start"))
+    placed = ranged.join(F.broadcast(starts), "p").select((F.col("start") + F.row_number().over(W.partitionBy("p").orderBy("idx")) - 1).alias("i"), F.col("lat").alias("truth_lat"))
+    i = F.least(F.col("idx"), F.col("n") - 1)
+    return est.select("idx").crossJoin(F.broadcast(bounds.select("n"))).withColumn("i", i).join(placed, "i").select("idx", "truth_lat")
+
+
 @plans.add("last_ten_fixes", f"WITH {SAMPLES_SQL}, k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM samples) SELECT user_id, event_id, back::INT AS back FROM k WHERE back <= 10")
 def last_ten_fixes(spark, sf_dir):
     w = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))

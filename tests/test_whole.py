@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from plumbline.operators import engine as E
-from plumbline.plans import decide, estimate
+from plumbline.plans import decide, estimate, ordered
+from plumbline.plans.base import samples
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -77,3 +78,19 @@ def test_scores_with_gaps():
             continue
         ncc = np.corrcoef(a, b)[0, 1] if a.std() > 0 else 0.0
         assert got[i, j] == pytest.approx(0.5 * ncc + 0.5 / (1 + ((a - b) ** 2).mean() / 100), abs=1e-9)
+
+
+def test_truth_by_place_in_the_whole_list(spark):
+    """Estimate k has the truth of place k, the last one beyond the end."""
+    truth, est = ordered.truth_and_estimates(spark, SMALL)
+    lat = [r.lat for r in truth.orderBy("idx").collect()]
+    got = {r.idx: r.truth_lat for r in ordered.truth_clamped_join_all(spark, SMALL).collect()}
+    assert len(lat) > 100 and got == {r.idx: lat[min(r.idx, len(lat) - 1)] for r in est.collect()}
+
+
+def test_all_readings_are_merged(spark):
+    s = samples(spark, SMALL).toPandas()
+    s["w"] = 1 / np.maximum(s["event_id"] % 50, 1e-6)
+    want = s.groupby("user_id")[["value", "w"]].apply(lambda g: np.average(g["value"], weights=g["w"]))
+    got = {r.user_id: r.px for r in estimate.federated_fusion_all(spark, SMALL).collect()}
+    assert set(got) == set(want.index) and all(got[u] == pytest.approx(x, abs=2e-5) for u, x in want.items())
