@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from plumbline.operators import engine as E
-from plumbline.plans import decide, estimate, ordered
+from plumbline.plans import decide, estimate, ingest, ordered, streams
 from plumbline.plans.base import samples
 
 SMALL = "/root/testdata/sf0.001"
@@ -94,3 +94,11 @@ def test_all_readings_are_merged(spark):
     want = s.groupby("user_id")[["value", "w"]].apply(lambda g: np.average(g["value"], weights=g["w"]))
     got = {r.user_id: r.px for r in estimate.federated_fusion_all(spark, SMALL).collect()}
     assert set(got) == set(want.index) and all(got[u] == pytest.approx(x, abs=2e-5) for u, x in want.items())
+
+
+def test_every_sentence_and_upload(spark):
+    s = samples(spark, SMALL)
+    valid = {r.event_id for r in s.where("valid").select("event_id").collect()}
+    assert {r.event_id for r in streams.stream_sentences_all(spark, SMALL).collect()} == valid
+    names = {r.event_id: r.name for r in ingest.upload_manifest_all(spark, SMALL).collect()}
+    assert names == {r.event_id: f"log_{r.event_id}.nmea" for r in s.select("event_id").collect()}
