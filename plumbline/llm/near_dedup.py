@@ -53,6 +53,11 @@ def distinct(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def named(sets: list[np.ndarray]) -> tuple[list, list]:
+    """Two independent sums over each set, which name it."""
+    return [x.sum(dtype=U) + U(len(x)) for x in sets], [mix(x + U(0x5851F42D4C957F2D)).sum(dtype=U) for x in sets]
+
+
 def _long(x) -> pa.Array:
     return pa.array(np.asarray(x, U).view(np.int64), pa.int64())
 
@@ -60,15 +65,13 @@ def _long(x) -> pa.Array:
 def _signed(words: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
+            texts = as_bytes(batch.column(2))
             for a, b in slices(texts):
                 hashes, bounds = shingle_hashes(*word_hashes(texts[a:b]), words)
                 sig = signatures(hashes, bounds, k)
                 sets = distinct(hashes, bounds)
-                # two independent sums over the set name it
-                k1 = [x.sum(dtype=U) + U(len(x)) for x in sets]
-                k2 = [mix(x + U(0x5851F42D4C957F2D)).sum(dtype=U) for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), _long(k1), _long(k2), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sig"])
+                k1, k2 = named(sets)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), _long(k1), _long(k2), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "h", "n_shingles", "k1", "k2", "sig"])
 
     return run
 
@@ -94,12 +97,16 @@ def _keyed(k: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
+            texts = as_bytes(batch.column(3))
+            ids, given = batch.column(0), np.stack([batch.column(c).to_numpy().view(U) for c in (1, 2)], axis=1) if batch.num_rows else None
             for a, b in slices(texts):
                 sets = distinct(*shingle_hashes(*word_hashes(texts[a:b]), words))
+                # a text that only shares the hash of its class's text is not of the class
+                own = np.flatnonzero((np.array(named(sets), U).T == given[a:b]).all(axis=1))
+                sets = [sets[i] for i in own]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.zeros(0, U)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _long(flat))], ["id", "s"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own + a)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _long(flat))], ["id", "s"])
 
     return run
 
@@ -145,30 +152,24 @@ def _block(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80, chunks: int | None = None) -> DataFrame:
-    """Classes of near-duplicate documents.
-
-    docs: doc_id, text. Words: A-Z lower-cased, parted by space and \\x09-\\x0D. Sets: distinct shingles of that many words; a text
-    of fewer words has its whole sequence as one. Two documents are linked if 100 * intersection >= percent * union.
-
-    Returns doc_id, n_shingles, component_id (the least doc_id reachable over links, itself included), kept (doc_id = component_id).
-    Null or empty texts, and texts without words: n_shingles 0, linked with nothing. Null doc_id: linked with nothing, component_id
-    null, kept true. Rows that repeat a doc_id each get a row. An empty table gives no row. Other columns are not read.
-    """
+def _classes(docs: DataFrame, scratch: Scratch, words: int, percent: int, chunks: int | None) -> DataFrame:
+    """A row for each row of docs: doc_id, h (a hash of its text), n_shingles, and for rows that can be linked the number of their
+    group of linked classes and its least doc_id. Rows with equal sets are of one class, whatever their doc_ids; doc_ids name nothing here."""
     spark: SparkSession = docs.sparkSession
     k = WIDTH * (chunks or chunks_for(percent))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
     with short_batches(spark):
-        signed = scratch.write(rows.mapInArrow(_signed(words, k), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary"), "signed")
-    usable = signed.where("doc_id is not null and n_shingles > 0")
-    reps = scratch.write(usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "sig")).alias("r")).select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.sig").alias("sig")), "reps")
-    keys = reps.select("rep", "sig").mapInArrow(_keyed(k), "key bigint, id bigint")
+        signed = scratch.write(rows.mapInArrow(_signed(words, k), "doc_id bigint, h bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary"), "signed")
+    linkable = F.expr("doc_id is not null and n_shingles > 0")
+    reps = signed.where(linkable).groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "h", "sig")).alias("r"))
+    reps = scratch.write(reps.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "r.*"), "reps")
+    keys = reps.select("id", "sig").mapInArrow(_keyed(k), "key bigint, id bigint")
     shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
     pairs = scratch.write(keys.join(shared, "key").where("id <> pivot").select("pivot", "id").distinct(), "pairs")
-    involved = pairs.select("id").union(pairs.select("pivot")).distinct()
+    involved = reps.join(pairs.select("id").union(pairs.select("pivot")).distinct(), "id").select("id", "k1", "k2", "doc_id", "h")
     with short_batches(spark):
         # hashed on the short side at every size: as a broadcast it would grow with the input
-        texts = rows.join(involved.hint("shuffle_hash"), rows.doc_id == involved.id, "left_semi").select("doc_id", "text")
+        texts = rows.join(involved.hint("shuffle_hash"), ["doc_id", "h"]).select("id", "k1", "k2", "text")
         sets = scratch.write(texts.mapInArrow(_sets(words), "id bigint, s array<bigint>").dropDuplicates(["id"]), "sets")
     one = pairs.join(sets, "id").select("pivot", "id", F.col("s").alias("s1"))
     both = F.size(F.array_intersect("s1", "s")).cast("bigint")
@@ -185,22 +186,49 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent:
     late = sides.join(sets, "id").groupBy("pivot", "i", "j").applyInArrow(_block(percent), "a bigint, b bigint")
     links = scratch.write(late.union(tried.where("ok").select(F.col("id").alias("a"), F.col("pivot").alias("b"))).distinct(), "links")
     scratch.drop("pairs", "sets", "tried", "groups")
-    classes = components(links, scratch)
-    at = reps.join(classes, reps.rep == classes.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("least"))
-    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    joined = signed.withColumns({c: F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col(c)) for c in ("k1", "k2")}).join(at, ["k1", "k2"], "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    linked = reps.select("id", "k1", "k2", "doc_id").join(components(links, scratch).withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "doc_id", F.coalesce("component", "id").alias("group"))
+    linked = scratch.write(linked, "classes")
+    least = linked.groupBy("group").agg(F.min("doc_id").alias("least"))
+    at = linked.select("k1", "k2", "group").join(least, "group")
+    joined = signed.withColumns({c: F.when(linkable, F.col(c)) for c in ("k1", "k2")}).join(at, ["k1", "k2"], "left")
+    return joined.select("doc_id", "h", "n_shingles", "group", "least")
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80, chunks: int | None = None) -> DataFrame:
+    """Classes of near-duplicate documents.
+
+    docs: doc_id, text. Words: A-Z lower-cased, parted by space and \\x09-\\x0D. Sets: distinct shingles of that many words; a text
+    of fewer words has its whole sequence as one. Two documents are linked if 100 * intersection >= percent * union.
+
+    Returns doc_id, n_shingles, component_id (the least doc_id reachable over links, itself included), kept (doc_id = component_id).
+    Null or empty texts, and texts without words: n_shingles 0, linked with nothing. Null doc_id: linked with nothing, component_id
+    null, kept true. Rows that repeat a doc_id are documents of their own: each gets a row with what its own text is linked with, so
+    two of them may name the same component_id without a link. An empty table gives no row. Other columns are not read.
+    """
+    found = _classes(docs, scratch, words, percent, chunks).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80) -> DataFrame:
-    """Documents of which no near duplicate has a lesser doc_id; their columns as they are. Of rows that repeat a doc_id and its text one stays. Rows with a null doc_id stay."""
-    found = near_duplicates(docs, scratch, words, percent)
-    out = found.where("not kept").select("doc_id").distinct()
-    twice = scratch.write(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    """Of each group of linked documents one row, of least doc_id (of its texts the one of least hash); columns as they are.
+
+    Rows that repeat a doc_id are judged by their own texts: one that is linked with nothing stays, whatever other rows bear its
+    doc_id. Of rows that repeat a doc_id and its text one stays. Rows with a null doc_id stay. An empty table gives no row.
+    """
+    found = _classes(docs, scratch, words, percent, None).where("doc_id is not null")
+    # texts by doc_id and hash; those that are linked with nothing have no group and compete with none
+    texts = scratch.write(found.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"), F.max("group").alias("group")), "rows")
+    first = texts.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    out = texts.join(first, "group").where("first.doc_id <> doc_id or first.h <> h").select("doc_id", "h")
+    out = scratch.write(out, "out")
+    twice = scratch.write(texts.where("n > 1").join(out, ["doc_id", "h"], "left_anti").select("doc_id", "h"), "twice")
+    hashed = docs.withColumns({"_id_": F.col("doc_id").cast("bigint"), "_h_": F.xxhash64(F.col("text").cast("string"))})
+    same = lambda other: (F.col("_id_") == other["doc_id"]) & (F.col("_h_") == other["h"])
+    drop = out.union(twice)
+    kept = hashed.join(drop, same(drop), "left_anti").select(*docs.columns)
     if twice.isEmpty():
-        return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
-    once = docs.join(out.union(twice), "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(docs.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+        return kept
+    return kept.unionByName(hashed.join(twice, same(twice), "left_semi").dropDuplicates(["_id_", "_h_"]).select(*docs.columns))
 
 
 #: near_duplicates(documents, words=3, percent=85) as SQL: all pairs that share a shingle, and reachability over links.

@@ -82,6 +82,34 @@ def test_odd_rows(spark):
     assert sorted(x.doc_id or 0 for x in keep_first(docs, Scratch(spark), 3, 85).collect()) == [0, 1, 2, 3, 4, 6, 8, 10]
 
 
+def test_repeated_ids_of_other_texts(spark):
+    """Rows are told apart by their texts, not by their doc_ids: all that brute force over rows links is linked, and no lone text goes."""
+    rng = random.Random(9)
+    base = [" ".join(f"{n}{i}" for i in range(60)) for n in "abcdef"]
+    rows = [(5, base[0] + " x"), (5, base[1]), (9, base[1]), (7, base[1] + " more"), (3, base[2]), (5, base[2] + " near"), (5, base[3]), (None, base[3]), (8, base[0])]
+    rows += [(rng.choice([1, 2, 5, 40]), base[rng.randrange(6)] + f" {rng.randrange(4)} tail" * rng.randrange(2)) for _ in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = [i for i, (d, _) in enumerate(rows) if d is not None]
+    root = {i: c for i, (_, c) in brute([(i, rows[i][1]) for i in known], 3, 85).items()}
+    least = {}
+    for i in known:
+        least[root[i]] = min(least.get(root[i], 99), rows[i][0])
+    want = sorted((rows[i][0], least[root[i]]) for i in known)
+    groups = [{rows[i] for i in known if root[i] == c} for c in set(root.values())]
+    for parts in ("8", "3"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = near_duplicates(docs.repartition(int(parts)), Scratch(spark), 3, 85).where("doc_id is not null")
+        assert sorted((r.doc_id, r.component_id) for r in got.collect()) == want
+        kept = [(r.doc_id, r.text) for r in keep_first(docs.repartition(int(parts)), Scratch(spark), 3, 85).collect()]
+        assert (None, base[3]) in kept and len(kept) == len(groups) + 1
+        for g in groups:
+            (one,) = [r for r in kept if r in g]
+            assert one[0] == min(d for d, _ in g)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    lone = spark.createDataFrame([(3, base[0]), (5, base[0] + " x"), (5, base[4])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in keep_first(lone, Scratch(spark), 3, 85).collect()) == [(3, base[0]), (5, base[4])]
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 102), (102, 101), (200, 201)]
     out = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark))
