@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .store import short_batches
@@ -24,10 +25,16 @@ from .textops import LOWER, as_bytes, slices
 LENGTH = 256
 #: Widths of filters, filters of each, and numbers that stand for a byte.
 WIDTHS, FILTERS, EMBEDDED = (2, 3, 4), 10, 8
-#: Documents of each language (in expectation) and windows of each that training takes, and runs over them.
-PER_LANGUAGE, WINDOWS, EPOCHS = 1200, 3, 6
+#: Documents of each language, windows of each document and languages (the most frequent) that training takes at most, and runs over them.
+PER_LANGUAGE, WINDOWS, LANGUAGES, EPOCHS = 1200, 3, 500, 6
 _BATCH = 512
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numerals beyond the decimal digits, which has_letter tells apart.
+_LETTER = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of the Unicode category L."""
+    return any(c.isalpha() for m in _LETTER.finditer(text) for c in m.group())
 
 
 def windows(text: bytes) -> np.ndarray:
@@ -124,34 +131,39 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Some windows spread over each whole text."""
+    """Some windows spread over each whole text that has letters, end to end."""
     for batch in batches:
-        langs, out = [], []
-        for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-            if _LETTER.search(text.decode(errors="ignore")):
+        kept, out = [], []
+        for i, text in enumerate(as_bytes(batch.column(2))):
+            if has_letter(text.decode(errors="ignore")):
                 own = windows(text)
-                for k in sorted({int(i * (len(own) - 1) / max(1, WINDOWS - 1)) for i in range(WINDOWS)}):
-                    langs.append(lang)
-                    out.append(own[k].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "window"])
+                kept.append(i)
+                out.append(b"".join(own[k].tobytes() for k in sorted({int(i * (len(own) - 1) / max(1, WINDOWS - 1)) for i in range(WINDOWS)})))
+        at = pa.array(kept, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out, pa.binary())], ["lang", "h", "windows"])
 
 
 def fit(docs: DataFrame) -> Network | None:
-    """Trains on rows of docs (doc_id, text, lang) that are not held out and have a language: PER_LANGUAGE documents of each in expectation, chosen by a hash of doc_id, WINDOWS windows of each. None without such rows."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False))).select("doc_id", "lang", "text")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Trains on rows of docs (doc_id, text, lang) that are not held out and have a language: PER_LANGUAGE texts at most of each of the
+    LANGUAGES most frequent languages, those of least hash, WINDOWS windows of each. None without such rows. Rows with a null doc_id
+    count as not held out; rows that repeat a text and its language count once, so the bound holds whatever the rows hold."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False))).select("lang", F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1_000_000, -(-PER_LANGUAGE * 1_000_000 // n)))])
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    # a threshold on the hash leaves about as many as are asked for; ranks cut the rest
+    share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, PER_LANGUAGE / n))])
+    near = rows.where(F.col("h") / F.lit(2.0**64) + 0.5 < share[F.col("lang")])
     with short_batches(docs.sparkSession):
-        got = chosen.select("lang", "text").mapInArrow(_sample, "lang string, window binary").toArrow().sort_by([("lang", "ascending"), ("window", "ascending")])
+        cut = near.mapInArrow(_sample, "lang string, h bigint, windows binary").dropDuplicates(["lang", "h"])
+    ranked = cut.withColumn("i", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("i") <= PER_LANGUAGE)
+    got = ranked.select("lang", "h", "windows").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
     labels = sorted(set(got["lang"].to_pylist()))
     if not labels:
         return None
-    x = np.frombuffer(b"".join(got["window"].to_pylist()), np.uint8).reshape(-1, LENGTH)
-    number = {lang: k for k, lang in enumerate(labels)}
-    return train(x, np.array([number[a] for a in got["lang"].to_pylist()]), labels)
+    number, texts = {lang: k for k, lang in enumerate(labels)}, got["windows"].to_pylist()
+    x = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, LENGTH)
+    return train(x, np.repeat([number[a] for a in got["lang"].to_pylist()], [len(w) // LENGTH for w in texts]), labels)
 
 
 def _predicted(net: Network | None):
@@ -161,7 +173,7 @@ def _predicted(net: Network | None):
             texts = as_bytes(batch.column(2))
             for a, b in slices(texts):
                 langs, scores = ["und"] * (b - a), [0.0] * (b - a)
-                known = [i for i in range(a, b) if net and _LETTER.search(texts[i].decode(errors="ignore"))]
+                known = [i for i in range(a, b) if net and has_letter(texts[i].decode(errors="ignore"))]
                 if known:
                     own = [windows(texts[i]) for i in known]
                     p = net.probabilities(np.concatenate(own), tables)

@@ -26,6 +26,22 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in L.identify(docs.where("doc_id = 3")).collect()} == {"und"}
 
 
+def test_sample_is_bounded_and_letters_are_of_category_l(spark, monkeypatch):
+    """Null and repeated ids don't lift the bound; numerals such as fractions are no letters."""
+    monkeypatch.setattr(L, "PER_LANGUAGE", 100)
+    seen = []
+    monkeypatch.setattr(L, "train", lambda x, y, labels: seen.append((len(x), sorted(np.bincount(y).tolist()), labels)))
+    ids = spark.range(20_000).selectExpr("cast(null as bigint) as doc_id", "concat('text ', id) as text", "if(id % 4 = 0, 'de', 'en') as lang")
+    L.fit(ids)
+    same = spark.range(20_000).selectExpr("7L as doc_id", "if(id % 2 = 0, 'one text', concat('text ', id)) as text", "'en' as lang")
+    L.fit(same)
+    for n, per, labels in seen:
+        assert n <= 100 * len(labels) and min(per) > 50, per
+    assert L.has_letter("½ a") and L.has_letter("ª") and L.has_letter("日")
+    odd = spark.createDataFrame([(1, "½ ² ③ 4", "en"), (2, "Ⅷ", "en"), (3, "a house", "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in L.predict(odd, L.Network(["en"])).where("lang_pred = 'und'").collect()} == {1, 2}
+
+
 def test_gradients_and_tables():
     rng = np.random.default_rng(1)
     net = L.Network(["a", "b", "c"])
