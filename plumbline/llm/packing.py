@@ -8,7 +8,7 @@ patterns whatever the corpus is. Pieces find their place by their rank within th
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,42 +26,21 @@ END_ID = 2
 SPLIT_ROWS = 50_000
 _encoders: dict = {}
 
-#: Characters whose classes are the same in every Unicode version of the last decades: for these both libraries part texts alike.
-_PLAIN = re.compile(r"[\x00-ɏ‐-‧‰-⁞]*")
-_SPECIAL = "<|endoftext|>"
 
-
-class Encoder:
-    """Ids by a byte-level BPE file of the library tokenizers. Where the same vocabulary lies beside it as ranks, plain texts go through the faster library tiktoken, which gives the same ids; all others, and those with a special token's string, take the first."""
-
-    def __init__(self, path: str):
+def encoder(path: str):
+    """The tokenizer of a file of the library tokenizers; one for each worker."""
+    if path not in _encoders:
+        # a task has one core; the library's own threads would take others'
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
-        self.fast = None
-        ranks = path.removesuffix(".json") + ".tiktoken"
-        try:
-            import base64
-
-            import public_tokenizers
-            import tiktoken
-
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        except (ImportError, FileNotFoundError):
-            pass
-
-    def ids(self, text: str) -> np.ndarray:
-        if self.fast and len(text) < 1_000_000 and _SPECIAL not in text and _PLAIN.fullmatch(text):
-            return np.array(self.fast.encode_ordinary(text), np.uint32)
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
+        _encoders[path] = Tokenizer.from_file(path)
+    return _encoders[path]
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoded(path: str, texts: list[str]) -> list[np.ndarray]:
+    """The ids of each text, without special tokens."""
+    return [np.array(e.ids, np.uint32) for e in encoder(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def cut(n: int) -> list[tuple[int, int]]:
@@ -72,14 +51,15 @@ def cut(n: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(path)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate((tokens.ids(text or ""), np.array([END_ID], np.uint32)))
-                for k, (s, n) in enumerate(cut(len(ids))):
-                    own = ids[s : s + n].astype("<u4")
-                    rows.append((doc, k, s, n, zlib.crc32(own.tobytes()), own.tolist() if with_ids else None))
+            docs, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
+            for a in range(0, len(texts), 50):
+                for doc, ids in zip(docs[a : a + 50], encoded(path, texts[a : a + 50]), strict=True):
+                    ids = np.append(ids, np.uint32(END_ID))
+                    for k, (s, n) in enumerate(cut(len(ids))):
+                        own = ids[s : s + n].astype("<u4")
+                        rows.append((doc, k, s, n, zlib.crc32(own.tobytes()), own.tolist() if with_ids else None))
             names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"], [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             for k in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[k : k + 4096]], kind) for j, kind in enumerate(kinds[: 5 + with_ids])], names[: 5 + with_ids])
@@ -145,14 +125,15 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str | None = None, with_i
     kind = docs.schema["doc_id"].dataType.simpleString()
     with short_batches(spark, 500):
         pieces = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_pieces(path, with_ids), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
-        pieces = scratch.write(pieces, "pieces")
+        # each row gets a number, by which rows that are alike in everything are parted too
+        pieces = scratch.write(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     # within a length, a split's rows are ranked after those of the splits before it
     splits = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
     table = plan({r.length: r.n for r in splits})
-    pieces = pieces.join(F.broadcast(spark.createDataFrame([(r.length, -(-r.n // SPLIT_ROWS)) for r in splits], "length bigint, splits int")), "length").withColumn("split", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("splits")).cast("int"))
+    pieces = pieces.join(F.broadcast(spark.createDataFrame([(r.length, -(-r.n // SPLIT_ROWS)) for r in splits], "length bigint, splits int")), "length").withColumn("split", F.pmod(F.xxhash64("row"), F.col("splits")).cast("int"))
     starts = pieces.groupBy("length", "split").agg(F.count(F.lit(1)).alias("n"))
     starts = starts.select("length", "split", (F.sum("n").over(W.partitionBy("length").orderBy("split").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    ranked = pieces.withColumn("within", F.row_number().over(W.partitionBy("length", "split").orderBy("doc_id", "piece", "ids_crc32"))).join(starts, ["length", "split"])
+    ranked = pieces.withColumn("within", F.row_number().over(W.partitionBy("length", "split").orderBy("doc_id", "piece", "ids_crc32", "row"))).join(starts, ["length", "split"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("within") - 1)
     # each length's ranks are dealt to its patterns in order; a pattern that holds k of a length takes bins * k ranks of it
     dealt: dict[int, list[tuple[int, int, int, int]]] = {}
