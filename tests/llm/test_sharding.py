@@ -1,6 +1,6 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from plumbline.llm import sharding as S
 from plumbline.llm.store import Scratch
@@ -38,13 +38,28 @@ def test_hot_group_and_odd_rows(spark, monkeypatch):
     assert S.shard(again, Scratch(spark), 2).count() == 4
 
 
+def brute(sizes, shards):
+    """Longest first, one group at a time: the loads, and how many of each size each shard takes."""
+    loads, out = [0] * shards, defaultdict(lambda: [0] * shards)
+    for x in sorted(sizes, reverse=True):
+        s = min(range(shards), key=lambda k: (loads[k], k))
+        loads[s] += x
+        out[x][s] += 1
+    return loads, dict(out)
+
+
 def test_longest_first():
-    assert longest([7, 6, 5, 4, 3], 2) == [14, 11]
-    assert longest([1], 3) == [0, 0, 1]
+    rng = random.Random(5)
+    for _ in range(200):
+        shards = rng.randrange(1, 9)
+        sizes = [rng.choice([rng.randrange(16, 40), 17, rng.randrange(16, 3000)]) for _ in range(rng.randrange(300))]
+        assert S.longest_first(Counter(sizes), shards) == brute(sizes, shards)[1]
 
 
-def longest(sizes, shards):
-    out = [0] * shards
-    for unit, s in S.longest_first([(x, i) for i, x in enumerate(sizes)], shards).items():
-        out[s] += sizes[unit]
-    return sorted(out, reverse=shards == 2)
+def test_equals_brute_force_over_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    texts = [t for _, t in sorted((r.doc_id, r.text) for r in rows)]
+    groups = Counter(t or "" for t in texts)
+    load = laws(S.shard(docs, Scratch(spark)).collect(), texts, 40)
+    assert load == brute([(len(t.encode()) + 16) * n for t, n in groups.items()], 40)[0]
