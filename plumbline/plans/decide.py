@@ -143,18 +143,12 @@ def tail_trim(spark, sf_dir):
     return k.select("user_id", (-F.col("k.id")).alias("event_id"), (-F.col("k.size")).alias("size"))
 
 
-_NEARBY = f"""{MATCH_SQL}, around AS (SELECT event_id, heading, i * 180 AS east, j * 180 AS north, (event_id * 7 + i * 31 + j * 17 + 100) % 100 AS q, ((event_id * 19 + i * 400 + j * 900 + 3600) % 3600)::DOUBLE / 10 AS az2, abs(off) AS aoff FROM m, generate_series(-1, 1) a(i), generate_series(-1, 1) b(j) WHERE event_id % 20 = 0),
+_NEARBY = f"""{MATCH_SQL}, around AS (SELECT event_id, heading, i * 180 AS east, j * 180 AS north, (event_id * 7 + i * 31 + j * 17 + 100) % 100 AS q, ((event_id * 19 + i * 400 + j * 900 + 3600) % 3600)::DOUBLE / 10 AS az2, abs(off) AS aoff FROM m, generate_series(-1, 1) a(i), generate_series(-1, 1) b(j)),
 scored AS (SELECT *, q >= 40 AS rel, q % 3 <> 0 AS inf, round(q::DOUBLE / 100 + 0.05 * greatest(q % 7 - 2, 0) - 0.35 * least(abs({_TURN.format('heading', 'az2')}) / 90, 1), 9) AS s FROM around)"""
 
 
 @plans.add("local_reacquisition", f"WITH {_NEARBY}, k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY rel DESC, inf DESC, s DESC, aoff, east, north) AS i FROM scored) SELECT event_id, east::INT AS east, north::INT AS north, s AS score FROM k WHERE i = 1")
 def local_reacquisition(spark, sf_dir):
-    """Of local_reacquisition_all the matches that this query's SQL keeps."""
-    return local_reacquisition_all(spark, sf_dir).where("event_id % 20 = 0")
-
-
-@plans.add("local_reacquisition_all", plans.oracles["local_reacquisition"].replace(" WHERE event_id % 20 = 0", ""))
-def local_reacquisition_all(spark, sf_dir):
     """Nine centres around the predicted place of every match; the best by reliability, information, score and offset."""
     grid = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     a = matches(spark, sf_dir).select("event_id", "heading", F.abs("off").alias("aoff"), F.inline(grid))
@@ -190,14 +184,8 @@ def reacquisition_tracker(spark, sf_dir):
     return f.select("user_id", "f.pending", "f.stable", r6("f.az").alias("az"), r6("f.off").alias("off"), "f.holds")
 
 
-@plans.add("azimuth_band", f"WITH {MATCH_SQL}, b AS (SELECT event_id, a, abs({_TURN.format('heading', 'a')}) <= 25 AS near FROM m, generate_series(0, 345, 15) g(a) WHERE event_id % 10 = 0) SELECT event_id, a::INT AS azimuth FROM b WHERE near")
+@plans.add("azimuth_band", f"WITH {MATCH_SQL}, b AS (SELECT event_id, a, abs({_TURN.format('heading', 'a')}) <= 25 AS near FROM m, generate_series(0, 345, 15) g(a)) SELECT event_id, a::INT AS azimuth FROM b WHERE near")
 def azimuth_band(spark, sf_dir, half: float = 25.0):
-    """Of azimuth_band_all the matches that this query's SQL keeps."""
-    return azimuth_band_all(spark, sf_dir, half).where("event_id % 10 = 0")
-
-
-@plans.add("azimuth_band_all", plans.oracles["azimuth_band"].replace(" WHERE event_id % 10 = 0", ""))
-def azimuth_band_all(spark, sf_dir, half: float = 25.0):
     """Reference bearings within 25 degrees of the expected heading, for every match."""
     a = F.explode(F.sequence(F.lit(0), F.lit(345), F.lit(15)))
     return matches(spark, sf_dir).select("event_id", "heading", a.alias("azimuth")).where(F.abs(angles.turn(F.col("heading"), F.col("azimuth"))) <= half).select("event_id", "azimuth")

@@ -37,16 +37,10 @@ def position_covariance(spark, sf_dir):
     return covariances(spark, sf_dir).select("event_id", *(F.round(c, 4).alias(c) for c in ("ee", "en", "nn")), F.round(F.sqrt(F.greatest(F.col("ee") + F.col("nn"), F.lit(0.0))), 5).alias("hdop"))
 
 
-@plans.add("covariance_ellipse", f"""WITH {_COV}, e AS (SELECT event_id, greatest((ee + nn) / 2 + sqrt(power((ee - nn) / 2, 2) + en * en), 1e-6) AS l1, greatest((ee + nn) / 2 - sqrt(power((ee - nn) / 2, 2) + en * en), 1e-6) AS l2, 0.5 * atan2(2 * en, ee - nn) AS th FROM c WHERE event_id % 100 = 0)
+@plans.add("covariance_ellipse", f"""WITH {_COV}, e AS (SELECT event_id, greatest((ee + nn) / 2 + sqrt(power((ee - nn) / 2, 2) + en * en), 1e-6) AS l1, greatest((ee + nn) / 2 - sqrt(power((ee - nn) / 2, 2) + en * en), 1e-6) AS l2, 0.5 * atan2(2 * en, ee - nn) AS th FROM c)
 SELECT event_id, s::INT AS sigma, k::INT AS k, round(s * (sqrt(l1) * cos(2 * pi() * k / 79) * cos(th) - sqrt(l2) * sin(2 * pi() * k / 79) * sin(th)), 4) AS east, round(s * (sqrt(l1) * cos(2 * pi() * k / 79) * sin(th) + sqrt(l2) * sin(2 * pi() * k / 79) * cos(th)), 4) AS north
 FROM e, generate_series(1, 2) a(s), generate_series(0, 79) b(k)""")
 def covariance_ellipse(spark, sf_dir, points: int = 80):
-    """Of covariance_ellipse_all the samples that this query's SQL keeps."""
-    return covariance_ellipse_all(spark, sf_dir, points).where("event_id % 100 = 0")
-
-
-@plans.add("covariance_ellipse_all")
-def covariance_ellipse_all(spark, sf_dir, points: int = 80):
     """Outlines of every sample at one and two sigma, from the closed form of a two by two eigenproblem."""
     mid, half = (F.col("ee") + F.col("nn")) / 2, F.sqrt(F.pow((F.col("ee") - F.col("nn")) / 2, F.lit(2.0)) + F.col("en") * F.col("en"))
     e = covariances(spark, sf_dir).select("event_id", F.greatest(mid + half, F.lit(1e-6)).alias("l1"), F.greatest(mid - half, F.lit(1e-6)).alias("l2"), (F.atan2(F.col("en") * 2, F.col("ee") - F.col("nn")) * 0.5).alias("th"))
@@ -92,19 +86,13 @@ def chi2_gate(spark, sf_dir, one: float = 6.63, three: float = 11.34):
     return g.select("event_id", "kind", metric.alias("m")).select("event_id", F.round("m", 5).alias("metric"), (F.col("m") <= F.when(F.col("kind") == "doppler", three).otherwise(one)).alias("accepted"))
 
 
-_FUSE = f"""{SAMPLES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM samples), f AS (SELECT user_id, value AS px, lat AS vx, lon AS vy, 1.0::DOUBLE AS q0, (event_id % 7)::DOUBLE / 10 AS q1, (event_id % 5)::DOUBLE / 10 AS q2, (event_id % 3)::DOUBLE / 10 AS q3, 1 / greatest((event_id % 50)::DOUBLE, 1e-6) AS w FROM k WHERE i <= 3),
+_FUSE = f"""{SAMPLES_SQL}, f AS (SELECT user_id, value AS px, lat AS vx, lon AS vy, 1.0::DOUBLE AS q0, (event_id % 7)::DOUBLE / 10 AS q1, (event_id % 5)::DOUBLE / 10 AS q2, (event_id % 3)::DOUBLE / 10 AS q3, 1 / greatest((event_id % 50)::DOUBLE, 1e-6) AS w FROM samples),
 u AS (SELECT user_id, px, vx, vy, w, q0 / n AS q0, q1 / n AS q1, q2 / n AS q2, q3 / n AS q3 FROM (SELECT *, sqrt(q0 * q0 + q1 * q1 + q2 * q2 + q3 * q3) AS n FROM f)),
 s AS (SELECT user_id, sum(w * px) / sum(w) AS px, sum(w * vx) / sum(w) AS vx, sum(w * vy) / sum(w) AS vy, sum(w * q0) / sum(w) AS q0, sum(w * q1) / sum(w) AS q1, sum(w * q2) / sum(w) AS q2, sum(w * q3) / sum(w) AS q3 FROM u GROUP BY user_id)"""
 
 
 @plans.add("federated_fusion", f"WITH {_FUSE} SELECT user_id, round(px, 5) AS px, round(vx, 5) AS vx, round(vy, 5) AS vy, " + ", ".join(f"round(q{k} / sqrt(q0 * q0 + q1 * q1 + q2 * q2 + q3 * q3), 6) AS q{k}" for k in range(4)) + " FROM s")
 def federated_fusion(spark, sf_dir):
-    """Of each vehicle the first three readings, as this query's SQL keeps them."""
-    return _fused(samples(spark, sf_dir).withColumn("i", F.row_number().over(track_order())).where("i <= 3"))
-
-
-@plans.add("federated_fusion_all", plans.oracles["federated_fusion"].replace(" WHERE i <= 3", ""))
-def federated_fusion_all(spark, sf_dir):
     """All readings of each vehicle."""
     return _fused(samples(spark, sf_dir))
 
@@ -143,15 +131,20 @@ def _tracks(spark, sf_dir):
 @plans.add("imm_filter")
 def imm_filter(spark, sf_dir):
     """Each vehicle's fixes through the three-model filter, in order; both the raw fix and the filtered place come out."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        mix, out = filters.ModelMix(), []
-        for r in rows.sort_values(["t", "event_id"]).itertuples():
-            g = mix.step(r.east, r.north, r.speed, r.heading, np.array([[r.ee, r.en], [r.en, r.nn]]), 2.0)
-            out.append((r.user_id, r.event_id, r.east, r.north, g["east"], g["north"], g["speed"], g["heading"], *g["weights"], g["mode"], g["hdop"]))
-        return pd.DataFrame(out, columns=["user_id", "event_id", "fix_east", "fix_north", "imm_east", "imm_north", "speed", "heading", "w_hover", "w_cruise", "w_turn", "mode", "hdop"]).round(6)
-
-    return _tracks(spark, sf_dir).groupBy("user_id").applyInPandas(run, "user_id bigint, event_id bigint, fix_east double, fix_north double, imm_east double, imm_north double, speed double, heading double, w_hover double, w_cruise double, w_turn double, mode string, hdop double")
+    kind = "user_id bigint, event_id bigint, fix_east double, fix_north double, imm_east double, imm_north double, speed double, heading double, w_hover double, w_cruise double, w_turn double, mode string, hdop double"
+    names = [x.split()[0] for x in kind.split(", ")]
+
+    def run(batches):
+        mixes = filters.TrackMixes(2.0)
+        for rows in batches:
+            if len(rows):
+                cov = rows[["ee", "en", "en", "nn"]].to_numpy().reshape(-1, 2, 2)
+                g = mixes.feed(rows["user_id"].to_numpy(), *(rows[c].to_numpy() for c in ("east", "north", "speed", "heading")), cov)
+                columns = [rows["user_id"], rows["event_id"], rows["east"], rows["north"], g["east"], g["north"], g["speed"], g["heading"], *g["weights"].T, g["mode"], g["hdop"]]
+                yield pd.DataFrame(dict(zip(names, map(np.asarray, columns), strict=True))).round(6)
+
+    # vehicles are dealt whole and stand together in order, so each batch steps through many at once
+    return _tracks(spark, sf_dir).repartition("user_id").sortWithinPartitions("user_id", "t", "event_id").mapInPandas(run, kind)
 
 
 @plans.add("eskf_track")

@@ -118,14 +118,8 @@ def format_metric(spark, sf_dir):
     return samples(spark, sf_dir).select("event_id", F.when(text == "", "n/a").otherwise(F.concat(text, F.lit(" m"))).alias("label"), F.concat_ws(" ", F.upper("event_type"), F.col("user_id").cast("string")).alias("note"))
 
 
-@plans.add("upload_manifest", f"""WITH {SAMPLES_SQL} SELECT event_id, 'log_' || event_id::VARCHAR || '.nmea' AS name, (8 + length(event_type))::INT AS n_bytes FROM samples WHERE event_id % 10 = 0""")
+@plans.add("upload_manifest", f"""WITH {SAMPLES_SQL} SELECT event_id, 'log_' || event_id::VARCHAR || '.nmea' AS name, (8 + length(event_type))::INT AS n_bytes FROM samples""")
 def upload_manifest(spark, sf_dir):
-    """Of upload_manifest_all the uploads that this query's SQL keeps."""
-    return upload_manifest_all(spark, sf_dir).where("event_id % 10 = 0")
-
-
-@plans.add("upload_manifest_all", plans.oracles["upload_manifest"].replace(" WHERE event_id % 10 = 0", ""))
-def upload_manifest_all(spark, sf_dir):
     """Uploads as base64 text: decoded size, and a safe base name of the given path."""
     up = samples(spark, sf_dir).select("event_id", F.base64(F.concat(F.lit("content:"), "event_type").cast("binary")).alias("body"), F.concat(F.lit("../x/log:"), F.col("event_id").cast("string"), F.lit(".nmea")).alias("path"))
     name = F.regexp_replace(F.regexp_extract("path", r"([^/\\]*)$", 1), r"[^A-Za-z0-9._-]", "_")

@@ -171,16 +171,8 @@ def truth_left_join(spark, sf_dir):
     return est.join(t, "idx", "left").select("idx", "truth_lat", "truth_heading", F.coalesce("k", F.lit(False)).alias("known"))
 
 
-@plans.add("truth_clamped_join", f"WITH {_TRUTH}, o AS (SELECT lat, row_number() OVER (ORDER BY idx) - 1 AS i FROM truth WHERE idx < 100), k AS (SELECT count(*) AS n FROM o) SELECT e.idx, o.lat AS truth_lat FROM est e, k, o WHERE o.i = least(e.idx, k.n - 1)")
+@plans.add("truth_clamped_join", f"WITH {_TRUTH}, o AS (SELECT lat, row_number() OVER (ORDER BY idx) - 1 AS i FROM truth), k AS (SELECT count(*) AS n FROM o) SELECT e.idx, o.lat AS truth_lat FROM est e, k, o WHERE o.i = least(e.idx, k.n - 1)")
 def truth_clamped_join(spark, sf_dir):
-    """Truth by its place in a list; estimates beyond its end take the last. The list is one of 100 rows at most."""
-    truth, est = truth_and_estimates(spark, sf_dir)
-    rows = truth.where("idx < 100").groupBy().agg(F.array_sort(F.collect_list(F.struct("idx", "lat"))).alias("rows"))
-    return est.crossJoin(F.broadcast(rows)).select("idx", F.element_at("rows", F.least(F.col("idx") + 1, F.size("rows")).cast("int"))["lat"].alias("truth_lat"))
-
-
-@plans.add("truth_clamped_join_all", plans.oracles["truth_clamped_join"].replace(" WHERE idx < 100", ""))
-def truth_clamped_join_all(spark, sf_dir):
     """Truth by its place in the list of all truth rows. Ranges of idx are numbered each by itself; their starts are sums of their counts, a row for each range."""
     truth, est = truth_and_estimates(spark, sf_dir)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,9 +5,13 @@ from plumbline.plans.registry import ORACLES, QUERIES
 from .oracle import same
 
 
+#: Queries with so many rows that a small table is enough to compare row by row.
+WIDE = {"covariance_ellipse"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
-    assert same(spark, QUERIES[name], ORACLES[name], "/root/testdata/sf0.01") > 0
+    assert same(spark, QUERIES[name], ORACLES[name], f"/root/testdata/sf{'0.001' if name in WIDE else '0.01'}") > 0
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))

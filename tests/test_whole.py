@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from plumbline.operators import engine as E
+from plumbline.operators import filters
 from plumbline.plans import decide, estimate, ingest, ordered, streams
 from plumbline.plans.base import samples
 
@@ -12,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_ellipse_of_every_sample(spark):
     """Each sample has its outlines, and they are those of its covariance's eigenvectors."""
-    rows = estimate.covariance_ellipse_all(spark, SMALL).toPandas()
+    rows = estimate.covariance_ellipse(spark, SMALL).toPandas()
     covs = estimate.covariances(spark, SMALL).toPandas().set_index("event_id")
     assert len(rows) == 160 * len(covs) and set(rows["event_id"]) == set(covs.index)
     for i, g in rows.groupby("event_id"):
@@ -26,9 +27,9 @@ def test_every_match_is_searched(spark):
     """Each match has one reacquired centre, and three or four of the bearings 15 degrees apart."""
     ids = set(range(decide.matches(spark, SMALL).count()))
     assert {r.event_id for r in decide.matches(spark, SMALL).select("event_id").collect()} == ids
-    centres = [r.event_id for r in decide.local_reacquisition_all(spark, SMALL).collect()]
+    centres = [r.event_id for r in decide.local_reacquisition(spark, SMALL).collect()]
     assert len(centres) == len(ids) and set(centres) == ids
-    bands = decide.azimuth_band_all(spark, SMALL).groupBy("event_id").count().collect()
+    bands = decide.azimuth_band(spark, SMALL).groupBy("event_id").count().collect()
     assert {r.event_id for r in bands} == ids and {r["count"] for r in bands} <= {3, 4}
 
 
@@ -84,7 +85,7 @@ def test_truth_by_place_in_the_whole_list(spark):
     """Estimate k has the truth of place k, the last one beyond the end."""
     truth, est = ordered.truth_and_estimates(spark, SMALL)
     lat = [r.lat for r in truth.orderBy("idx").collect()]
-    got = {r.idx: r.truth_lat for r in ordered.truth_clamped_join_all(spark, SMALL).collect()}
+    got = {r.idx: r.truth_lat for r in ordered.truth_clamped_join(spark, SMALL).collect()}
     assert len(lat) > 100 and got == {r.idx: lat[min(r.idx, len(lat) - 1)] for r in est.collect()}
 
 
@@ -92,13 +93,38 @@ def test_all_readings_are_merged(spark):
     s = samples(spark, SMALL).toPandas()
     s["w"] = 1 / np.maximum(s["event_id"] % 50, 1e-6)
     want = s.groupby("user_id")[["value", "w"]].apply(lambda g: np.average(g["value"], weights=g["w"]))
-    got = {r.user_id: r.px for r in estimate.federated_fusion_all(spark, SMALL).collect()}
+    got = {r.user_id: r.px for r in estimate.federated_fusion(spark, SMALL).collect()}
     assert set(got) == set(want.index) and all(got[u] == pytest.approx(x, abs=2e-5) for u, x in want.items())
 
 
 def test_every_sentence_and_upload(spark):
     s = samples(spark, SMALL)
     valid = {r.event_id for r in s.where("valid").select("event_id").collect()}
-    assert {r.event_id for r in streams.stream_sentences_all(spark, SMALL).collect()} == valid
-    names = {r.event_id: r.name for r in ingest.upload_manifest_all(spark, SMALL).collect()}
+    assert {r.event_id for r in streams.stream_sentences(spark, SMALL).collect()} == valid
+    names = {r.event_id: r.name for r in ingest.upload_manifest(spark, SMALL).collect()}
     assert names == {r.event_id: f"log_{r.event_id}.nmea" for r in s.select("event_id").collect()}
+
+
+def test_many_tracks_step_as_single_ones():
+    """Vehicles filtered together, in parts of any size, give what each gives alone."""
+    rng = np.random.default_rng(2)
+    key = np.repeat([3, 5, 9], [40, 1, 17])
+    east, north, speed, heading = (rng.normal(size=len(key)) * s for s in (100, 100, 10, 360))
+    cov = np.stack([np.diag(rng.uniform(1, 50, 2)) for _ in key])
+    want = {name: [] for name in ("east", "north", "speed", "heading", "hdop", "mode")}
+    for k in (3, 5, 9):
+        mix = filters.ModelMix()
+        for i in np.flatnonzero(key == k):
+            g = mix.step(east[i], north[i], speed[i], heading[i], cov[i], 2.0)
+            for name, v in want.items():
+                v.append(g[name])
+    for cut in ([58], [10, 30, 41, 50, 58], list(range(1, 59))):
+        mixes, got, a = filters.TrackMixes(2.0), {name: [] for name in want}, 0
+        for b in cut:
+            g = mixes.feed(key[a:b], *(v[a:b] for v in (east, north, speed, heading)), cov[a:b])
+            for name, v in got.items():
+                v.extend(g[name].tolist())
+            a = b
+        assert got["mode"] == want["mode"]
+        for name in ("east", "north", "speed", "heading", "hdop"):
+            assert np.allclose(got[name], want[name], atol=1e-7), name
