@@ -10,8 +10,7 @@ BEFORE, AFTER = ",,,,,1,08,1.0,", ",M,0.0,M,,"
 
 def checksum(payload: Column) -> Column:
     """The xor of a sentence's characters, as two hexadecimal digits."""
-    codes = F.transform(F.split(payload, ""), lambda c: F.ascii(c))
-    return F.lpad(F.hex(F.aggregate(codes, F.lit(0), lambda a, c: a.bitwiseXOR(c))), 2, "0")
+    return F.lpad(F.hex(F.aggregate(F.split(payload, ""), F.lit(0), lambda a, c: a.bitwiseXOR(F.ascii(c)))), 2, "0")
 
 
 def altitude_tenths(altitude: Column) -> Column:

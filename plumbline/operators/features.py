@@ -78,27 +78,34 @@ def _cells(az: pa.Array, score: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([az.take(pa.array(np.repeat(np.arange(rows), offs))), pa.array(np.tile(np.arange(offs, dtype=np.int32), rows)), s], ["az", "off", "score"])
 
 
-def hybrid_scores(w: np.ndarray, h: np.ndarray, scale: float) -> np.ndarray:
-    """The mean of correlation and bounded mean square for complete windows w (..., place) against h, by running sums."""
+def both_scores(w: np.ndarray, h: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Correlation and bounded mean square of complete windows w (..., place) against h, by running sums."""
     n = len(h)
     c = h - h.mean()
-    mean = w.mean(axis=-1)
+    mean, square = w.mean(axis=-1), np.einsum("...k,...k->...", w, w)
     cov = w @ c / n
-    spread = np.sqrt(np.maximum(np.einsum("...k,...k->...", w, w) / n - mean**2, 0)) * h.std()
+    spread = np.sqrt(np.maximum(square / n - mean**2, 0)) * h.std()
     ncc = np.where(spread > 1e-12, cov / np.where(spread > 1e-12, spread, 1), 0.0)
-    d = (np.einsum("...k,...k->...", w, w) - 2 * (w @ h) + h @ h) / n
-    return 0.5 * ncc + 0.5 / (1 + np.maximum(d, 0) / scale)
+    return ncc, 1 / (1 + np.maximum((square - 2 * (w @ h) + h @ h) / n, 0) / scale)
+
+
+def hybrid_scores(w: np.ndarray, h: np.ndarray, scale: float) -> np.ndarray:
+    """The mean of both scores."""
+    ncc, msd = both_scores(w, h, scale)
+    return 0.5 * ncc + 0.5 * msd
 
 
 def kernel_heatmap(reference: DataFrame, measured: DataFrame, scale: float) -> DataFrame:
-    """az, off, score of complete profiles by matrix products; measured is one row, sent along."""
+    """az, off, ncc, msd, score of complete profiles by matrix products; measured is one row, sent along."""
     h = np.asarray(measured.first()["h"], float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _cells(batch.column(0), hybrid_scores(_windows(batch.column(1), len(h)), h, scale))
+            ncc, msd = both_scores(_windows(batch.column(1), len(h)), h, scale)
+            cells = _cells(batch.column(0), 0.5 * ncc + 0.5 * msd)
+            yield pa.RecordBatch.from_arrays([cells.column(0), cells.column(1), pa.array(ncc.ravel()), pa.array(msd.ravel()), cells.column(2)], ["az", "off", "ncc", "msd", "score"])
 
-    return reference.select("az", "profile").mapInArrow(run, "az int, off int, score double")
+    return reference.select("az", "profile").mapInArrow(run, "az int, off int, ncc double, msd double, score double")
 
 
 def kernel_best(reference: DataFrame, windows: DataFrame, scale: float) -> DataFrame:

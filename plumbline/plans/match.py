@@ -38,8 +38,9 @@ def measured(spark, sf_dir):
     return row.select(F.transform(F.slice("profile", OFFSET + 1, N), lambda v, i: v + ((i * 7) % 5 - 2) * 0.01).alias("h"))
 
 
-def heat(spark, sf_dir, **how):
-    return M.heatmap(reference(spark, sf_dir), measured(spark, sf_dir), scale=SCALE, **how)
+def heat(spark, sf_dir):
+    """The heatmap of complete profiles, by matrix products within batches of reference rows."""
+    return features.kernel_heatmap(reference(spark, sf_dir), measured(spark, sf_dir), SCALE)
 
 
 def n_az(spark, sf_dir) -> int:
@@ -54,7 +55,8 @@ def match_argmax(spark, sf_dir):
 
 @plans.add("match_heatmap", f"WITH {HEAT_SQL} SELECT az::INT AS az, off::INT AS off, round(score, 6) AS score FROM heat")
 def match_heatmap(spark, sf_dir):
-    return heat(spark, sf_dir).select("az", "off", r6("score").alias("score"))
+    """By array functions alone."""
+    return M.heatmap(reference(spark, sf_dir), measured(spark, sf_dir), scale=SCALE).select("az", "off", r6("score").alias("score"))
 
 
 @plans.add("match_metric_modes", f"WITH {HEAT_SQL}, m AS (SELECT 'ncc' AS metric, az, off, ncc AS s FROM heat UNION ALL SELECT 'msd', az, off, msd FROM heat UNION ALL SELECT 'hybrid', az, off, score FROM heat), k AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY s DESC, az, off) AS i FROM m) SELECT metric, az::INT AS az, off::INT AS off, round(s, 6) AS score FROM k WHERE i = 1")
