@@ -9,8 +9,10 @@ patterns whatever the corpus is. Pieces find their place by their rank within th
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +29,46 @@ SPLIT_ROWS = 50_000
 _encoders: dict = {}
 
 
-def encoder(path: str):
-    """The tokenizer of a file of the library tokenizers; one for each worker."""
-    if path not in _encoders:
+#: Characters whose classes are the same in every Unicode version of the last decades: for these all libraries part texts alike.
+_PLAIN = re.compile(r"[\x00-ɏ‐-‧‰-⁞]*")
+#: Words whose ids a worker keeps.
+WORDS = 300_000
+
+
+class Encoder(dict):
+    """Ids by a byte-level BPE file of the library tokenizers. The file's pattern parts a text into words and each word has ids of its
+    own, so the ids of words that come again are kept; texts of other than plain characters, or with a special token, are encoded whole."""
+
+    def __init__(self, path: str):
         # a task has one core; the library's own threads would take others'
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
-        _encoders[path] = Tokenizer.from_file(path)
-    return _encoders[path]
+        super().__init__()
+        self.full, self.words = Tokenizer.from_file(path), regex.compile(public_tokenizers.PATTERN)
+        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
 
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= WORDS:
+            self.clear()
+        ids = self.full.encode(word, add_special_tokens=False).ids
+        if len(word) < 100:
+            self[word] = ids
+        return ids
 
-def encoded(path: str, texts: list[str]) -> list[np.ndarray]:
-    """The ids of each text, without special tokens."""
-    return [np.array(e.ids, np.uint32) for e in encoder(path).encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, text: str) -> np.ndarray:
+        if not _PLAIN.fullmatch(text) or any(x in text for x in self.special):
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.words.findall(text))), np.uint32)
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker and file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def cut(n: int) -> list[tuple[int, int]]:
@@ -51,15 +79,14 @@ def cut(n: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = encoder(path)
         for batch in batches:
             rows: list[tuple] = []
-            docs, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for a in range(0, len(texts), 50):
-                for doc, ids in zip(docs[a : a + 50], encoded(path, texts[a : a + 50]), strict=True):
-                    ids = np.append(ids, np.uint32(END_ID))
-                    for k, (s, n) in enumerate(cut(len(ids))):
-                        own = ids[s : s + n].astype("<u4")
-                        rows.append((doc, k, s, n, zlib.crc32(own.tobytes()), own.tolist() if with_ids else None))
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.append(tokens.ids(text or ""), np.uint32(END_ID))
+                for k, (s, n) in enumerate(cut(len(ids))):
+                    own = ids[s : s + n].astype("<u4")
+                    rows.append((doc, k, s, n, zlib.crc32(own.tobytes()), own.tolist() if with_ids else None))
             names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"], [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             for k in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[k : k + 4096]], kind) for j, kind in enumerate(kinds[: 5 + with_ids])], names[: 5 + with_ids])

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from plumbline.llm import packing as P
@@ -63,13 +64,19 @@ def test_odd_rows(spark, monkeypatch):
     assert len({(r.sequence_id, r.offset) for r in rows}) == 3 and all(r.ids[-1] == 2 for r in rows)
 
 
-def test_ids_of_batches_are_those_of_single_texts():
+def test_ids_are_those_of_whole_texts(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokens, rng = Tokenizer.from_file(path), random.Random(8)
-    letters = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), 0x4E00, 0x1F600]]
-    texts = ["".join(rng.choices(letters, k=n % 60)) for n in range(300)] + ["", "x" * 70_000, "word and " * 150_000, "<|endoftext|>"]
-    for t, got in zip(texts, P.encoded(path, texts), strict=True):
-        assert got.tolist() == tokens.encode(t, add_special_tokens=False).ids
+    monkeypatch.setattr(P, "WORDS", 500)
+    e = P.Encoder(path)
+    letters = [chr(c) for c in [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]]
+    texts = ["".join(rng.choices(letters, k=n % 60)) if n % 3 else "".join(rng.choices(" \n\t'sabtv1.é", k=n % 80)) for n in range(3000)]
+    texts += ["".join(rng.choices([*letters, "日", "😀", "½", "ⅷ", "ʰ", "\u0301"], k=50)) for _ in range(300)]
+    texts += ["", "x" * 70_000, "word and " * 150_000, "<|endoftext|> a", "a b" * 400_000 + "é"]
+    texts += [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for t in texts:
+        assert e.ids(t).tolist() == tokens.encode(t, add_special_tokens=False).ids, t[:80]
+    assert len(e) <= 501
 
 
 def best_fill(lengths, first, capacity):
