@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,37 +33,64 @@ _encoders: dict = {}
 
 #: Characters whose classes are the same in every Unicode version of the last decades: for these all libraries part texts alike.
 _PLAIN = re.compile(r"[\x00-ɏ‐-‧‰-⁞]*")
-#: Words whose ids a worker keeps.
-WORDS = 300_000
+#: Words and ids that a worker keeps; the longest word kept; letters of a text from which on its words are taken in runs; words of a run.
+WORDS, IDS, LONG_WORD, LONG_TEXT, RUN = 500_000, 5_000_000, 100, 1_000_000, 100_000
+
+
+def _word_pattern() -> re.Pattern:
+    """public_tokenizers.PATTERN for plain characters, with its classes spelled out, so that the faster re can run it."""
+    low = [chr(c) for c in range(0x250)]
+    letters, numbers = ("".join(c for c in low if unicodedata.category(c)[0] == kind) for kind in "LN")
+    space = r" \t-\r\x85\xa0"
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
 class Encoder(dict):
     """Ids by a byte-level BPE file of the library tokenizers. The file's pattern parts a text into words and each word has ids of its
-    own, so the ids of words that come again are kept; texts of other than plain characters, or with a special token, are encoded whole."""
+    own, so the ids of words that come again are kept; texts of other than plain characters, or with a special token, are encoded whole.
+
+    The dict gives each kept word a number; the ids of word k are flat[starts[k] : starts[k + 1]]."""
 
     def __init__(self, path: str):
         # a task has one core; the library's own threads would take others'
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.full, self.words = Tokenizer.from_file(path), regex.compile(public_tokenizers.PATTERN)
+        self.full, self.words = Tokenizer.from_file(path), _word_pattern()
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) >= WORDS:
+        self.model = self.full.model
+        # the signs that the file's pre-tokenizer puts for a character's bytes; the model takes a word in these
+        self.signs = {k: self.full.pre_tokenizer.pre_tokenize_str(chr(k))[0][0] for k in range(0x2060) if _PLAIN.fullmatch(chr(k))}
+        self.flat, self.starts = array("I"), array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        self.flat.extend([t.id for t in self.model.tokenize(word.translate(self.signs))])
+        self.starts.append(len(self.flat))
+        number = len(self.starts) - 2
+        if len(word) <= LONG_WORD:
+            self[word] = number
+        return number
+
+    def _joined(self, words: list[str]) -> np.ndarray:
+        if len(self.starts) > WORDS or len(self.flat) > IDS:
             self.clear()
-        ids = self.full.encode(word, add_special_tokens=False).ids
-        if len(word) < 100:
-            self[word] = ids
-        return ids
+            self.flat, self.starts = array("I"), array("q", [0])
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        starts = np.frombuffer(self.starts, np.int64)
+        sizes = starts[at + 1] - starts[at]
+        ends = np.cumsum(sizes)
+        return np.frombuffer(self.flat, np.uint32)[np.repeat(starts[at] - ends + sizes, sizes) + np.arange(ends[-1])]
 
     def ids(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint32)
         if not _PLAIN.fullmatch(text) or any(x in text for x in self.special):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.words.findall(text))), np.uint32)
+        if len(text) < LONG_TEXT:
+            return self._joined(self.words.findall(text))
+        found = (m.group() for m in self.words.finditer(text))
+        return np.concatenate([self._joined(run) for run in iter(lambda: list(islice(found, RUN)), [])])
 
 
 def encoder(path: str) -> Encoder:
