@@ -129,3 +129,16 @@ def to_local(lat0: Column, lon0: Column, lat: Column, lon: Column) -> tuple[Colu
 
 def from_local(lat0: Column, lon0: Column, east: Column, north: Column) -> tuple[Column, Column]:
     return sphere_forward(lat0, lon0, F.degrees(F.atan2(east, north)), F.hypot(east, north))
+
+
+@F.pandas_udf(T.StructType([T.StructField("east", T.DoubleType()), T.StructField("north", T.DoubleType())]))
+def geodesic_to_local(lat0: pd.Series, lon0: pd.Series, lat: pd.Series, lon: pd.Series) -> pd.DataFrame:
+    """(east, north) metres by azimuthal-equidistant projection about an origin, on the ellipsoid."""
+    d, b = wgs84_inverse(lat0, lon0, lat, lon)
+    return pd.DataFrame({"east": d * np.sin(np.radians(b)), "north": d * np.cos(np.radians(b))})
+
+
+@F.pandas_udf(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))
+def geodesic_from_local(lat0: pd.Series, lon0: pd.Series, east: pd.Series, north: pd.Series) -> pd.DataFrame:
+    a, b = wgs84_forward(lat0, lon0, np.degrees(np.arctan2(east, north)), np.hypot(east, north))
+    return pd.DataFrame({"lat": a, "lon": b})

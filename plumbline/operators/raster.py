@@ -12,21 +12,22 @@ def shape(tiles: DataFrame) -> DataFrame:
 
 
 def bilinear(points: DataFrame, tiles: DataFrame) -> DataFrame:
-    """The raster at fractional pixels: points id, r, c; returns id, elev for each.
+    """The raster at fractional pixels: points id, r, c; returns id, elev for each row, rows that repeat an id each with their own.
 
-    Weights of the four neighbours by distance; null outside [0, n - 1], or where a neighbour is null. Each point meets the two
-    tiles of its rows in an equi-join, so the raster is shuffled once, or sent along if it is small.
+    Weights of the four neighbours by distance; null outside [0, n - 1], or where a neighbour is null. Each point meets the tiles of
+    its two rows in an equi-join for either, which keeps one number of it; a small raster is sent along and nothing is shuffled.
     """
     p = points.select("id", "r", "c").crossJoin(F.broadcast(shape(tiles)))
-    p = p.withColumn("ok", F.col("r").between(0, F.col("n_rows") - 1) & F.col("c").between(0, F.col("n_cols") - 1))
-    r0, c0 = F.floor("r"), F.floor("c").cast("int")
-    dr = F.col("r") - r0
-    ends = F.array(F.struct(r0.alias("row"), (1 - dr).alias("w")), F.struct(F.least(r0 + 1, F.col("n_rows") - 1).alias("row"), dr.alias("w")))
-    inside = p.where("ok").select("id", c0.alias("c0"), F.least(c0 + 1, F.col("n_cols") - 1).alias("c1"), (F.col("c") - c0).alias("dc"), F.inline(ends))
+    p = p.withColumn("ok", F.coalesce(F.col("r").between(0, F.col("n_rows") - 1) & F.col("c").between(0, F.col("n_cols") - 1), F.lit(False)))
+    # points outside meet any row, so that they don't all meet one
+    r0 = F.when(F.col("ok"), F.floor("r")).otherwise(F.pmod(F.xxhash64("id", "r", "c"), F.col("n_rows"))).cast("int")
+    c0 = F.when(F.col("ok"), F.floor("c")).cast("int")
+    p = p.select("id", "ok", r0.alias("r0"), F.least(r0 + 1, F.col("n_rows") - 1).alias("r1"), (F.col("r") - F.floor("r")).alias("dr"), c0.alias("c0"), F.least(c0 + 1, F.col("n_cols") - 1).alias("c1"), (F.col("c") - F.floor("c")).alias("dc"))
     value = F.get("values", F.col("c0")) * (1 - F.col("dc")) + F.get("values", F.col("c1")) * F.col("dc")
-    parts = inside.join(tiles, "row", "left").select("id", (F.col("w") * value).alias("v"))
-    got = parts.groupBy("id").agg(F.when(F.count("v") == 2, F.sum("v")).alias("elev"))
-    return points.select("id").join(got, "id", "left")
+    rows = tiles.select("row", "values")
+    for k in ("0", "1"):
+        p = p.join(rows, F.col(f"r{k}") == F.col("row"), "left").withColumn(f"v{k}", value).drop("row", "values")
+    return p.select("id", F.when(F.col("ok"), (1 - F.col("dr")) * F.col("v0") + F.col("dr") * F.col("v1")).alias("elev"))
 
 
 def patch(tiles: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:

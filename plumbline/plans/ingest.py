@@ -73,6 +73,21 @@ def infer_frequency(spark, sf_dir):
     return frames(spark, sf_dir).where("valid and radar_alt_m is not null").select("user_id", dt.alias("dt")).where("dt > 0.000001").groupBy("user_id").agg((F.count(F.lit(1)) + 1).alias("n_valid"), F.round(1 / F.median("dt"), 9).alias("hz"))
 
 
+@plans.add("frequency_check", f"""WITH {_PARSED}, steps AS (
+  SELECT user_id, valid AND radar_alt_m IS NOT NULL AS good, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, valid AND radar_alt_m IS NOT NULL ORDER BY ts, event_id))::DOUBLE / 1000000 AS dt FROM parsed
+), k AS (SELECT user_id, count(*) FILTER (good)::BIGINT AS n_valid, 1 / median(dt) FILTER (good AND dt > 0.000001) AS hz FROM steps GROUP BY user_id)
+SELECT user_id, n_valid, round(hz, 9) AS hz, CASE WHEN n_valid = 0 THEN 'no_valid_frames' WHEN hz < 1 - 0.000001 OR hz > 10 + 0.000001 THEN 'frequency_out_of_range' ELSE 'ok' END AS verdict FROM k""")
+def frequency_check(spark, sf_dir, low: float = 1.0, high: float = 10.0):
+    """Each track's rate, from the median step between valid frames, and whether it is one to be taken; a rate that can't be told is."""
+    good = F.coalesce(F.col("valid") & F.col("radar_alt_m").isNotNull(), F.lit(False))
+    f = frames(spark, sf_dir).withColumn("good", good)
+    dt = (clock.micros() - F.lag(clock.micros()).over(W.partitionBy("user_id", "good").orderBy("ts", "event_id"))).cast("double") / 1_000_000
+    steps = f.select("user_id", "good", dt.alias("dt"))
+    k = steps.groupBy("user_id").agg(F.count_if("good").alias("n_valid"), (1 / F.median(F.when(F.col("good") & (F.col("dt") > 0.000001), F.col("dt")))).alias("hz"))
+    outside = (F.col("hz") < low - 0.000001) | (F.col("hz") > high + 0.000001)
+    return k.select("user_id", "n_valid", F.round("hz", 9).alias("hz"), F.when(F.col("n_valid") == 0, "no_valid_frames").when(outside, "frequency_out_of_range").otherwise("ok").alias("verdict"))
+
+
 @plans.add("invalid_ratio_monitor", f"""WITH {SAMPLES_SQL}, seen AS (
   SELECT event_id, count(*) OVER w AS n, avg((NOT valid)::INT) OVER w AS ratio FROM samples WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
 ) SELECT event_id, round(ratio, 6) AS ratio, ratio > 0.05 AS warn FROM seen WHERE n = 20""")

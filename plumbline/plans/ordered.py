@@ -143,6 +143,15 @@ def local_frame_roundtrip(spark, sf_dir):
     return s.select("event_id", F.round("e", 3).alias("east"), F.round("n", 3).alias("north"), r6(F.col("value") - 100).alias("up"), r6(lat).alias("lat"), r6(lon).alias("lon"))
 
 
+@plans.add("local_frame_geodesic")
+def local_frame_geodesic(spark, sf_dir):
+    """Into the local frame of (20, 55) on the ellipsoid, on into the frame of (21, 56), and each frame's way back."""
+    s = samples(spark, sf_dir).select("event_id", "lat", "lon", geo.geodesic_to_local(F.lit(20.0), F.lit(55.0), "lat", "lon").alias("p"))
+    s = s.withColumn("back", geo.geodesic_from_local(F.lit(20.0), F.lit(55.0), "p.east", "p.north"))
+    s = s.withColumn("q", geo.geodesic_to_local(F.lit(21.0), F.lit(56.0), "back.lat", "back.lon"))
+    return s.select("event_id", *(F.round(f"p.{x}", 3).alias(x) for x in ("east", "north")), *(F.round(f"q.{x}", 3).alias(f"{x}_rebased") for x in ("east", "north")), r6("back.lat").alias("lat"), r6("back.lon").alias("lon"))
+
+
 _TRUTH = f"""{SAMPLES_SQL}, truth AS (SELECT event_id AS idx, lat, lon, speed, heading FROM samples WHERE event_id % 7 <> 0),
 est AS (SELECT event_id AS idx, lat + 0.0001 * (event_id % 5) AS lat, lon - 0.0002 * (event_id % 3) AS lon, speed + event_id % 4 AS speed, (heading + 3 * (event_id % 5)) % 360 AS heading, user_id FROM samples WHERE event_id % 5 <> 0)"""
 

@@ -128,6 +128,31 @@ def test_planted_match(spark):
         match.combine("other", F.lit(1), F.lit(1))
 
 
+def test_bilinear_of_repeated_and_missing_ids(spark):
+    tiles = spark.createDataFrame([(0, [0.0, 1.0]), (1, [2.0, 3.0]), (2, [4.0, None])], "row int, values array<double>")
+    rows = [(1, 0.0, 0.5), (1, 0.0, 0.5), (1, 0.5, 0.0), (None, 0.0, 1.0), (2, 1.5, 0.5), (3, 5.0, 0.0), (4, None, 0.0), (5, float("nan"), 0.0)]
+    got = raster.bilinear(spark.createDataFrame(rows, "id long, r double, c double"), tiles).collect()
+    assert sorted((r.id or 0, r.elev if r.elev is not None else -1.0) for r in got) == [(0, 1.0), (1, 0.5), (1, 0.5), (1, 1.0), (2, -1.0), (3, -1.0), (4, -1.0), (5, -1.0)]
+    assert raster.bilinear(spark.createDataFrame(rows, "id long, r double, c double"), tiles.limit(0)).where("elev is null").count() == len(rows)
+
+
+def test_local_frame_on_the_ellipsoid(spark):
+    from plumbline.plans.registry import QUERIES
+
+    d, b = geo.wgs84_inverse([20.0], [55.0], [20.3], [55.2])
+    p = spark.range(1).select(geo.geodesic_to_local(F.lit(20.0), F.lit(55.0), F.lit(20.3), F.lit(55.2)).alias("p")).first().p
+    assert abs(np.hypot(p.east, p.north) - d[0]) < 1e-6 and abs(np.degrees(np.arctan2(p.east, p.north)) % 360 - b[0]) < 1e-9
+    # a degree of the meridian at the equator and of the equator itself
+    q = spark.range(1).select(geo.geodesic_to_local(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("n"), geo.geodesic_to_local(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("e")).first()
+    assert abs(q.n.north - 110574.389) < 0.01 and abs(q.e.east - 111319.491) < 0.01
+    rows = QUERIES["local_frame_geodesic"](spark, "/root/testdata/sf0.001").collect()
+    lat, lon = np.array([r.lat for r in rows]), np.array([r.lon for r in rows])
+    for o, e, n in ((20.0, "east", "north"), (21.0, "east_rebased", "north_rebased")):
+        d, b = geo.wgs84_inverse(np.full(len(rows), o), np.full(len(rows), o + 35), lat, lon)
+        assert np.abs(d * np.sin(np.radians(b)) - [r[e] for r in rows]).max() < 0.2
+        assert np.abs(d * np.cos(np.radians(b)) - [r[n] for r in rows]).max() < 0.2
+
+
 def test_bilinear_on_a_plane(spark):
     tiles = spark.range(100).select(F.col("id").cast("int").alias("row"), F.transform(F.sequence(F.lit(0), F.lit(99)), lambda x: 100 + F.col("id") * 2.0 + x * 3.0).alias("values"))
     pts = spark.createDataFrame([(1, 3.25, 7.5), (2, 99.0, 99.0), (3, -0.1, 5.0), (4, 0.0, 99.01)], "id int, r double, c double")
