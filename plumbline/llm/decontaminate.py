@@ -1,12 +1,17 @@
 """Benchmark passages in documents: one Aho-Corasick automaton over all item windows, run once over each normalised text.
 
 Normalising works on UTF-8 bytes: A-Z are lower-cased and all ASCII bytes but 0-9 and a-z become spaces, runs of which become one.
-Words keep their order, so an offset in the normalised text is a word number, and with it a place in the original.
+Words keep their order, so an offset in the normalised text is a word number, and that a range of code points in the original.
+
+Patterns are made and counted by Spark. Those of a benchmark whose windows take at most BLOCK_BYTES are sent to the executors as
+one automaton. Those of a larger one are dealt into blocks by a hash, which are sent one at a time: the texts pass once for each
+block, and what a pass found is written before the next.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -17,11 +22,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import short_batches
+from .store import Scratch, short_batches
 from .textops import NORMAL, as_bytes, slices
 
 WINDOW = 10
-#: Bytes of patterns in one automaton. A larger benchmark is scanned with several, one after another.
+#: Bytes of patterns, and of the names of their items, in one automaton.
 BLOCK_BYTES = 16_000_000
 _built: dict = {}
 
@@ -38,22 +43,27 @@ def windows(text: bytes) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(max(1, len(words) - WINDOW + 1))] if words else []
 
 
-def blocks(items: list[tuple[object, str | None]], most: int | None = None) -> list[list[tuple[bytes, list[str]]]]:
-    """Patterns with the items that hold them, parted by bytes."""
-    most = most or BLOCK_BYTES
-    of: dict[bytes, set[str]] = {}
-    for item, text in items:
-        for w in windows((text or "").encode()):
-            of.setdefault(w, set()).add(str(item))
-    out: list[list[tuple[bytes, list[str]]]] = [[]]
-    size = 0
-    for w, ids in sorted(of.items()):
-        if size and size + len(w) > most:
-            out.append([])
-            size = 0
-        out[-1].append((w, sorted(ids)))
-        size += len(w)
-    return [b for b in out if b]
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+            own = windows(text)
+            for a in range(0, len(own), 10_000):
+                part = own[a : a + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([item] * len(part), pa.string())], ["pattern", "item"])
+
+
+def blocks(items: DataFrame) -> list[DataFrame]:
+    """Frames of pattern and item, each of about BLOCK_BYTES: a pattern's items may be in several, so a very common one is parted too."""
+    spark = items.sparkSession
+    own = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("None")).alias("item"), F.col("text").cast("string").alias("text"))
+    with short_batches(spark):
+        pairs = own.mapInArrow(_windows, "pattern binary, item string").distinct()
+    size = pairs.agg(F.sum(F.octet_length("pattern") + F.octet_length("item"))).first()[0] or 0
+    n = max(1, math.ceil(size / BLOCK_BYTES))
+    if n == 1:
+        return [pairs]
+    pairs = Scratch(spark).write(pairs.withColumn("block", F.pmod(F.xxhash64("pattern", "item"), F.lit(n))), "patterns")
+    return [pairs.where(F.col("block") == k).select("pattern", "item") for k in range(n)]
 
 
 def automaton(patterns: list[tuple[bytes, list[str]]]) -> ahocorasick.Automaton:
@@ -66,10 +76,11 @@ def automaton(patterns: list[tuple[bytes, list[str]]]) -> ahocorasick.Automaton:
 
 
 def scan(text: bytes, a: ahocorasick.Automaton, hits: list[tuple[int, int]], items: set[str]) -> None:
-    """Adds the word ranges of all occurrences in a normalised text, and their items."""
-    for end, (length, ids) in a.iter(text.decode("latin-1")):
-        hits.append((end - length + 1, end))
-        items.update(ids)
+    """Adds the byte ranges of all occurrences in a normalised text, and their items."""
+    if text and len(a):
+        for end, (length, ids) in a.iter(text.decode("latin-1")):
+            hits.append((end - length + 1, end))
+            items.update(ids)
 
 
 def words_hit(text: bytes, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -87,27 +98,76 @@ def words_hit(text: bytes, hits: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(a, b) for a, b in out]
 
 
-def _sent(spark: SparkSession, items: DataFrame) -> list[tuple[str, Broadcast]]:
-    """The patterns' blocks on all executors, each under a name of its own."""
-    rows = [(r.item_id, r.text) for r in items.select("item_id", "text").toLocalIterator()]
-    return [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in blocks(rows)]
+def places(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Where ranges of word numbers begin and end in the original text, in code points."""
+    if not ranges:
+        return []
+    inside = np.frombuffer(text.translate(NORMAL), np.uint8) != 0x20
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    leads = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
+    out, byte, point = [], 0, 0
+    for x, y in ranges:
+        begin, end = int(edges[2 * x]), int(edges[2 * y - 1])
+        first = point + int(leads[byte:begin].sum())
+        byte, point = end, first + int(leads[begin:end].sum())
+        out.append((first, point))
+    return out
+
+
+def _sent(block: DataFrame) -> tuple[str, Broadcast]:
+    """A block's patterns on all executors, under a name of their own."""
+    of: dict[bytes, list[str]] = {}
+    for r in block.collect():
+        of.setdefault(bytes(r.pattern), []).append(r.item)
+    return uuid.uuid4().hex, block.sparkSession.sparkContext.broadcast(sorted(of.items()))
+
+
+def _automaton(sent: tuple[str, Broadcast]) -> ahocorasick.Automaton:
+    """The block's automaton, built once in a worker; it takes the place of the block's before."""
+    name, part = sent
+    if name not in _built:
+        _built.clear()
+        _built[name] = automaton(part.value)
+    return _built[name]
+
 
+_PAIR = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+_DIGEST = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, word_ranges array<struct<first: bigint, last: bigint>>, char_ranges array<struct<begin: bigint, end: bigint>>"
+
+
+def _hits(sent: tuple[str, Broadcast]):
+    """Adds to doc_id, text, hits, items what a block's automaton finds; hits are byte ranges in the normalised text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = _automaton(sent)
+        for batch in batches:
+            texts = as_bytes(batch.column(1))
+            hits = [[(x["first"], x["last"]) for x in h] for h in batch.column(2).to_pylist()]
+            items = [set(x) for x in batch.column(3).to_pylist()]
+            for k, t in enumerate(texts):
+                scan(normal(t), a, hits[k], items[k])
+            found = [pa.array([[{"first": x, "last": y} for x, y in sorted(set(h))] for h in hits], _PAIR), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], ["doc_id", "text", "hits", "items"])
+
+    return run
+
+
+def _digests(sent: tuple[str, Broadcast]):
+    """The last block's pass: doc_id, text and, after other passes, hits, items in; the result's rows out."""
 
-def _scanned(parts: list[tuple[str, Broadcast]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automat = _automaton(sent)
         for batch in batches:
             column = as_bytes(batch.column(1))
             for a, b in slices(column, 1 << 22):
+                hits: list[list[tuple[int, int]]] = [[] for _ in range(a, b)]
+                items: list[set[str]] = [set() for _ in range(a, b)]
+                if batch.num_columns > 2:
+                    hits = [[(x["first"], x["last"]) for x in h] for h in batch.column(2).slice(a, b - a).to_pylist()]
+                    items = [set(x) for x in batch.column(3).slice(a, b - a).to_pylist()]
                 texts = [normal(t) for t in column[a:b]]
-                hits: list[list[tuple[int, int]]] = [[] for _ in texts]
-                items: list[set[str]] = [set() for _ in texts]
-                for name, part in parts:
-                    if name not in _built:
-                        _built.clear()  # one automaton at a time
-                        _built[name] = automaton(part.value)
-                    for k, t in enumerate(texts):
-                        if t:
-                            scan(t, _built[name], hits[k], items[k])
+                for k, t in enumerate(texts):
+                    scan(t, automat, hits[k], items[k])
                 ranges = [words_hit(t, h) for t, h in zip(texts, hits, strict=True)]
                 names = [sorted(x) for x in items]
                 yield pa.RecordBatch.from_arrays(
@@ -119,9 +179,10 @@ def _scanned(parts: list[tuple[str, Broadcast]]):
                         pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
                         pa.array([bool(r) for r in ranges]),
                         pa.array(names, pa.list_(pa.string())),
-                        pa.array([[{"first": x, "last": y - 1} for x, y in r] for r in ranges], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
+                        pa.array([[{"first": x, "last": y - 1} for x, y in r] for r in ranges], _PAIR),
+                        pa.array([[{"begin": x, "end": y} for x, y in places(t, r)] for t, r in zip(column[a:b], ranges, strict=True)], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
                     ],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "word_ranges"],
+                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "word_ranges", "char_ranges"],
                 )
 
     return run
@@ -130,30 +191,41 @@ def _scanned(parts: list[tuple[str, Broadcast]]):
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Occurrences of benchmark windows in documents.
 
-    docs: doc_id, text. items: item_id, text, a benchmark (its patterns are sent to all executors in blocks of BLOCK_BYTES, scanned
-    one after another). Words: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. A window is WINDOW consecutive words of
-    an item, or all of a shorter one.
+    docs: doc_id, text. items: item_id, text, a benchmark. Words: [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z.
+    A window is WINDOW consecutive words of an item, or all of a shorter one.
 
     Returns doc_id, n_words, n_hit (words inside any occurrence), n_items (items with occurring windows), items_sha256 (of their
     ids, sorted as strings, comma-joined), contaminated (n_hit > 0), items, word_ranges (first and last word number of each
-    maximal hit run). Null texts have no words. Null or wordless items have no windows; repeated items count once; a null item_id is named None. Repeated and
-    null doc_ids each get their row. An empty table gives no row; an empty benchmark hits nothing. Other columns are not read.
+    maximal hit run), char_ranges (the same runs in the text as it is: begin and end in code points, the end not included).
+    Null texts have no words. Null or wordless items have no windows; repeated items count once; a null item_id is named None.
+    Repeated and null doc_ids each get their row. An empty table gives no row; an empty benchmark hits nothing. Other columns are
+    not read.
     """
     spark: SparkSession = docs.sparkSession
-    parts = _sent(spark, items)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    *others, last = blocks(items)
+    if others:
+        scratch, held = Scratch(spark), f"doc_id {kind}, text string, hits array<struct<first: bigint, last: bigint>>, items array<string>"
+        found = found.withColumns({"hits": F.expr("cast(array() as array<struct<first: bigint, last: bigint>>)"), "items": F.expr("cast(array() as array<string>)")})
+        for k, block in enumerate(others):
+            sent = _sent(block)
+            with short_batches(spark):
+                found = scratch.write(found.mapInArrow(_hits(sent), held), f"pass-{k}")
+            sent[1].unpersist()
+            if k:
+                scratch.drop(f"pass-{k - 1}")
     with short_batches(spark):
-        return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_scanned(parts), f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, word_ranges array<struct<first: bigint, last: bigint>>")
+        return found.mapInArrow(_digests(_sent(last)), f"doc_id {kind}, {_DIGEST}")
 
 
-def _clean(parts: list[tuple[str, Broadcast]], place: int):
+def _clean(sent: tuple[str, Broadcast], place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanned = _scanned(parts)
+        a = _automaton(sent)
         for batch in batches:
             if batch.num_rows:
-                own = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(place)], ["doc_id", "text"])
-                hit = np.concatenate([x.column(5).to_numpy(zero_copy_only=False) for x in scanned(iter([own]))])
-                yield batch.filter(pa.array(~hit))
+                clean = [next(a.iter(normal(t).decode("latin-1")), None) is None if t and len(a) else True for t in as_bytes(batch.column(place))]
+                yield batch.filter(pa.array(clean))
 
     return run
 
@@ -161,9 +233,14 @@ def _clean(parts: list[tuple[str, Broadcast]], place: int):
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows whose text holds a benchmark window; rows and columns are else as they are."""
     spark: SparkSession = docs.sparkSession
-    parts = _sent(spark, items)
-    with short_batches(spark):
-        return docs.mapInArrow(_clean(parts, docs.columns.index("text")), docs.schema)
+    place, scratch, own = docs.columns.index("text"), Scratch(spark), docs.schema
+    parts = blocks(items)
+    for k, block in enumerate(parts):
+        with short_batches(spark):
+            docs = docs.mapInArrow(_clean(_sent(block), place), own)
+        if k + 1 < len(parts):
+            docs = scratch.write(docs, f"pass-{k}")
+    return docs
 
 
 #: The digest columns of contamination(documents, benchmark) as SQL: an equi-join of all windows of each length that items have.

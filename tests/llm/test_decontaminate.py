@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import decontaminate as D
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -46,7 +48,7 @@ DOCS = [(1, "x ONE, two-three four five six seven eight nine ten eleven twelve y
 
 
 def test_odd_rows(spark, monkeypatch):
-    for most in (16_000_000, 40):
+    for most in (16_000_000, 150):
         monkeypatch.setattr(D, "BLOCK_BYTES", most)
         docs = spark.createDataFrame([(*x, 1) for x in DOCS], "doc_id long, text string, items int")
         items = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -56,3 +58,12 @@ def test_odd_rows(spark, monkeypatch):
         assert D.without_contaminated(docs, items).columns == ["doc_id", "text", "items"]
         ranges = {r.doc_id: [tuple(x) for x in r.word_ranges] for r in D.contamination(docs, items).collect() if r.doc_id in (1, 3)}
         assert ranges == {1: [(1, 12)], 3: [(0, 3)]}
+        assert (len(D.blocks(items)) > 1) == (most == 150)
+        seen = 0
+        for r in D.contamination(docs.select("text", F.struct("doc_id", "text").alias("doc_id")), items).collect():
+            text = r.doc_id.text
+            for w, c in zip(r.word_ranges, r.char_ranges, strict=True):
+                part = text[c.begin : c.end]
+                assert words(part) == words(text)[w.first : w.last + 1] and words(part[0]) and words(part[-1])
+                seen += 1
+        assert seen >= 5
