@@ -15,15 +15,18 @@ def shingles(t):
 
 
 def brute(texts, templates):
-    """The best containment over all windows of every class, without retrieval."""
+    """The best containment over all windows, without retrieval: for templates of up to hi = 2 ** k distinct shingles windows of 2 * hi begin every hi + 1."""
     out = []
     own = {n: set(shingles(t)) for n, t in templates.items()}
-    of = {n: c for c in L.classes(templates) for n in c.names}
     for t in texts:
         s, found = shingles(t), {}
-        for name, c in of.items():
-            if s and own[name] & set(s):
-                inside = max(len(own[name] & set(s[a:b])) / len(own[name]) for a, b in zip(*L.grid(len(s), c), strict=True))
+        for name, x in own.items():
+            if x & set(s):
+                hi = 1
+                while hi < len(x):
+                    hi *= 2
+                starts = [i for i in range(0, len(s), hi + 1) if i == 0 or i + hi - 1 < len(s)]
+                inside = max(len(x & set(s[i : i + 2 * hi])) / len(x) for i in starts)
                 if inside >= L.LEAST - 1e-9:
                     found[name] = inside
         out.append((",".join(sorted(found)), max(found.values(), default=0.0)))
