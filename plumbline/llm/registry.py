@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, near_dedup, order_minhash, packing, sharding, suffix_dedup, toxicity, url_filter
+from . import decontaminate, embedding_dedup, fill_middle, language_id, license_scan, near_dedup, order_minhash, packing, sharding, suffix_dedup, toxicity, url_filter, whitening
 from .store import Scratch
 
 
@@ -56,6 +56,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -67,10 +79,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_order_minhash": op8_order_minhash,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {
     "op1_near_dedup": near_dedup.SQL,
     "op3_suffix_dedup": suffix_dedup.SQL,
     "op4_url_filter": url_filter.SQL,
     "op7_decontamination": decontaminate.SQL,
+    "op11_fill_middle": fill_middle.SQL,
+    "op12_embedding_dedup": embedding_dedup.SQL,
 }
