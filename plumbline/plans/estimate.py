@@ -37,13 +37,15 @@ def position_covariance(spark, sf_dir):
     return covariances(spark, sf_dir).select("event_id", *(F.round(c, 4).alias(c) for c in ("ee", "en", "nn")), F.round(F.sqrt(F.greatest(F.col("ee") + F.col("nn"), F.lit(0.0))), 5).alias("hdop"))
 
 
-@plans.add("covariance_ellipse", f"""WITH {_COV}, e AS (SELECT event_id, greatest((ee + nn) / 2 + sqrt(power((ee - nn) / 2, 2) + en * en), 1e-6) AS l1, greatest((ee + nn) / 2 - sqrt(power((ee - nn) / 2, 2) + en * en), 1e-6) AS l2, 0.5 * atan2(2 * en, ee - nn) AS th FROM c)
+@plans.add("covariance_ellipse", f"""WITH {_COV}, e AS (SELECT event_id, greatest((ee + nn) / 2 + sqrt(power((ee - nn) / 2, 2) + en * en), 1e-6) AS l1, greatest((ee + nn) / 2 - sqrt(power((ee - nn) / 2, 2) + en * en), 1e-6) AS l2, CASE WHEN sqrt(power(ee - nn, 2) + power(2 * en, 2)) <= 1e-9 * (ee + nn) THEN 0 ELSE 0.5 * atan2(2 * en, ee - nn) END AS th FROM c)
 SELECT event_id, s::INT AS sigma, k::INT AS k, round(s * (sqrt(l1) * cos(2 * pi() * k / 79) * cos(th) - sqrt(l2) * sin(2 * pi() * k / 79) * sin(th)), 4) AS east, round(s * (sqrt(l1) * cos(2 * pi() * k / 79) * sin(th) + sqrt(l2) * sin(2 * pi() * k / 79) * cos(th)), 4) AS north
 FROM e, generate_series(1, 2) a(s), generate_series(0, 79) b(k)""")
 def covariance_ellipse(spark, sf_dir, points: int = 80):
     """Outlines of every sample at one and two sigma, from the closed form of a two by two eigenproblem."""
     mid, half = (F.col("ee") + F.col("nn")) / 2, F.sqrt(F.pow((F.col("ee") - F.col("nn")) / 2, F.lit(2.0)) + F.col("en") * F.col("en"))
-    e = covariances(spark, sf_dir).select("event_id", F.greatest(mid + half, F.lit(1e-6)).alias("l1"), F.greatest(mid - half, F.lit(1e-6)).alias("l2"), (F.atan2(F.col("en") * 2, F.col("ee") - F.col("nn")) * 0.5).alias("th"))
+    # a circle up to rounding has no long axis: its outline begins in the east
+    angle = F.when(F.hypot(F.col("ee") - F.col("nn"), F.col("en") * 2) <= (F.col("ee") + F.col("nn")) * 1e-9, 0.0).otherwise(F.atan2(F.col("en") * 2, F.col("ee") - F.col("nn")) * 0.5)
+    e = covariances(spark, sf_dir).select("event_id", F.greatest(mid + half, F.lit(1e-6)).alias("l1"), F.greatest(mid - half, F.lit(1e-6)).alias("l2"), angle.alias("th"))
     e = e.withColumn("sigma", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     t = F.col("k") * (2 * np.pi / (points - 1))
     u, v = F.sqrt("l1") * F.cos(t), F.sqrt("l2") * F.sin(t)

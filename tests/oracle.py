@@ -8,6 +8,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -40,6 +41,20 @@ def rows_of(names, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+def same_flat(spark, query, sql: str, sf_dir: str, key: list[str]) -> int:
+    """For results of so many rows that Python objects for each are slow: numbers only, sorted by key and compared as arrays."""
+    df = query(spark, sf_dir)
+    got = connection(sf_dir).sql(sql)
+    assert sorted(df.columns) == sorted(got.columns)
+    a, b = (x.sort_by([(k, "ascending") for k in key]) for x in (df.toArrow(), got.to_arrow_table()))
+    assert a.num_rows == b.num_rows
+    for c in df.columns:
+        x, y = a[c].to_numpy().astype(float), b[c].to_numpy().astype(float)
+        bad = np.flatnonzero(~(np.abs(x - y) <= 1e-5))
+        assert not len(bad), f"{len(bad)} of {len(x)} rows differ in {c}, as {x[bad[:3]]} and {y[bad[:3]]}"
+    return a.num_rows
+
+
 def same(spark, query, sql: str, sf_dir: str) -> int:
     df = query(spark, sf_dir)
     con = connection(sf_dir)
