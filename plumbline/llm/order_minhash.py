@@ -80,7 +80,8 @@ def _slots(df: DataFrame, wide: str, packed: str, bits: str, out: str) -> DataFr
     tuple_ = f"aggregate(sort_array({picked}), 42L, (h, v) -> xxhash64(h, substring(w, cast(shiftright(v, 12) * 4 + 1 as int), {4 * K}), v & 4095))"
     slots = f"transform(sequence(0, {ORDERS - 1}), j -> shiftrightunsigned({tuple_}, 32))"
     slots = f"if(size({z2}) = 0, {none}, {_let('w', wide, _let('z', z2, _let('s', s2, slots)))})"
-    return df.withColumn(out, F.expr(f"if(octet_length({wide}) = 0, {none}, {slots})")).drop(a, z, s, z2, s2)
+    # a row's number makes the column one of its own: a filter on it can't be pushed below, where it would hold the whole expression again and again
+    return df.withColumn(out, F.when(F.monotonically_increasing_id() >= 0, F.expr(f"if(octet_length({wide}) = 0, {none}, {slots})"))).drop(a, z, s, z2, s2)
 
 
 def with_slots(df: DataFrame, text: str, out: str = "slots") -> DataFrame:

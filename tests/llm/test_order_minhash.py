@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import xxhash
@@ -105,6 +106,20 @@ def test_odd_rows(spark, buckets="3"):
         spark.conf.set("spark.sql.shuffle.partitions", held)
 
 
+def test_a_filter_on_fingerprints_ends(spark):
+    """A filter stays above the expressions that make the slots."""
+    rows = [(i, t) for i, t in enumerate([None, "", "one two three", "x" * 400, "the same words again and again " * 40])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    for df in (O.fingerprints(docs), O.edited_fingerprints(docs)):
+        some = df.where("fingerprint = '' or fingerprint > '8'")
+        assert len(some._jdf.queryExecution().optimizedPlan().toString()) < 2 * len(df._jdf.queryExecution().optimizedPlan().toString())
+        want = [r.doc_id for r in df.collect() if r.fingerprint == "" or r.fingerprint > "8"]
+        assert sorted(r.doc_id for r in some.collect()) == sorted(want) and {0, 1} <= set(want)
+    assert O.with_slots(docs.na.fill(""), "text").where("size(slots) = 32 and slots[0] > 0").count() == 3
+    assert time.time() - began < 60
+
+
 def test_occurrences_and_order_count(spark):
     """The same k-mers in another order, or more often, give another fingerprint."""
     a, b = " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(200))
