@@ -1,5 +1,6 @@
 """Parts without an SQL twin: known values, planted answers, exact round trips."""
 
+import datetime
 import math
 import socket
 import time
@@ -14,6 +15,7 @@ from plumbline.operators import features, filters, match, raster, simulate
 from plumbline.operators import ordered as O
 from plumbline.sources import datagrams, grids, logs
 from plumbline.streaming import navigation as N
+from plumbline.streaming.accounts import Accounts, observed
 from plumbline.streaming.run import drained
 
 
@@ -239,22 +241,42 @@ def test_engine_finds_the_track():
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    """Frames in several files, one a batch: the stream gives the rows of the batch twin."""
+    """Frames in shuffled files, one a batch, some later than those of other files: the stream gives the rows of the batch twin, and idle vehicles leave the state."""
     rng = np.random.default_rng(1)
     cells = 600 + np.cumsum(np.cumsum(rng.normal(size=(200, 200)), axis=0), axis=1)
-    eng = E.Engine(E.Raster(cells, 30.0))
-    rows = [(k, i, None if i % 13 == 5 else 700 + 40 * math.sin(i / 3 + k)) for i in range(90) for k in range(3)]
-    for part in range(3):
-        spark.createDataFrame(rows[part * 90 : part * 90 + 90], "key long, id long, agl double").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
-    frames = spark.read.parquet(*[str(tmp_path / "in" / f"p{p}") for p in range(3)])
-    want = sorted(map(tuple, N.navigate(frames, eng).collect()), key=repr)
+    terrain = N.terrain_of(spark, E.Raster(cells, 30.0))
+    begin = datetime.datetime(2024, 5, 1, tzinfo=datetime.UTC)
+    at = lambda i: begin + datetime.timedelta(seconds=i)
+    rows = [(k, at(i), i, None if i % 13 == 5 else 700 + 40 * math.sin(i / 3 + k)) for i in range(90) for k in range(3)]
+    # vehicle 3 ends early; the last rows of 0 move the watermark past all others
+    rows = [r for r in rows if r[0] != 2 or r[2] < 40] + [(0, at(90 + i), 90 + i, 700.0) for i in range(60)]
+    order = sorted(range(len(rows)), key=lambda j: rows[j][2] + rng.uniform(0, 25))
+    schema = "key long, ts timestamp, id long, agl double"
+    for part in range(4):
+        spark.createDataFrame([rows[j] for j in order[part * len(rows) // 4 : (part + 1) * len(rows) // 4]], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
+    frames = spark.read.parquet(*[str(tmp_path / "in" / f"p{p}") for p in range(4)])
+    # a frame that comes far too late
+    spark.createDataFrame([(0, at(2), 1000, 700.0)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "p4"))
+    released = frames.where(F.col("ts") <= F.lit(at(149 - 30)))
+    want = sorted(map(tuple, N.navigate(released, terrain).collect()), key=repr)
     stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    got = sorted(map(tuple, drained(N.navigate_stream(stream, eng)).collect()), key=repr)
-    assert len(want) == 3 * ((90 - 20) // 5 + 1)
-    assert [x[:3] for x in got] == [x[:3] for x in want]
+    accounts = Accounts()
+    spark.streams.addListener(accounts)
+    try:
+        got = drained(observed(N.navigate_stream(stream, terrain, "30 seconds", idle_ms=20_000), "windows"))
+        assert sorted(map(tuple, got.collect()), key=repr) == want and len(want) > 30
+        assert accounts.wait(spark) and accounts.total("windows", "rows") == len(want)
+    finally:
+        spark.streams.removeListener(accounts)
+    batches = accounts.batches
+    assert len(batches) >= 5 and sum(b.late for b in batches) == 1 and sum(b.rows_in for b in batches) == len(rows) + 1
+    assert [b.integrity for b in batches if b.late] == ["DEGRADED"] and batches[0].integrity == "OK"
+    # vehicles 1 and 2 have left, as their last frames are 20 seconds and more behind the last watermark; of 0 there are its state and what waits
+    assert batches[-1].state_rows == 2 and max(b.state_rows for b in batches) >= 6
+    assert accounts.percentiles("batch_ms", [0.5, 0.99])[0] > 0
     screen: dict = {}
-    N.keep_latest(screen)(N.navigate(frames, eng), 0)
-    assert set(screen) == {0, 1, 2} and all(s.window_id == 14 for s in screen.values())
+    N.keep_latest(screen)(N.navigate(frames, terrain), 0)
+    assert set(screen) == {0, 1, 2} and [screen[k].window_id for k in (0, 1, 2)] == [26, 14, 4]
 
 
 def test_text_grids(spark, tmp_path):
