@@ -38,9 +38,8 @@ def test_second_peak_is_tried(monkeypatch, second, mode, offset):
     """The best cell is too far from the last fix: the next peak is taken if its score is within 0.08, else none."""
 
     def heat(w, h, scale):
-        x = np.full(w.shape[:2], 0.1)
-        if h[0] > h[1]:
-            x[0, 3], x[0, 0] = 0.95, second
+        x = np.full((len(h), *w.shape[:2]), 0.1)
+        x[0, 0, 3], x[0, 0, 0] = 0.95, second
         return x
 
     monkeypatch.setattr(search, "masked_scores", heat)
