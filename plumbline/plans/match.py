@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import angles
-from plumbline.operators import features
+from plumbline.operators import features, fullmatch
 from plumbline.operators import match as M
 
 from .base import Plans, r6, table
@@ -241,3 +241,26 @@ def match_many_windows(spark, sf_dir):
     part = F.slice("profile", F.col("az") % 33 + 1, N)
     windows = ref.where("az % 25 = 3").select(F.col("az").cast("bigint").alias("window_id"), F.transform(part, lambda v, i: v + ((i * 7) % 5 - 2) * 0.01).alias("h"))
     return features.kernel_best(ref, windows, SCALE).select("window_id", "az", "off", r6("score").alias("score"))
+
+
+_FULL = f"""WITH {HEAT_SQL}, {_AROUND}, {_PEAK}, {_maxima_sql(3)}, pair AS (SELECT az, off, max(score) OVER (PARTITION BY az ORDER BY off ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM heat),
+near5 AS (SELECT c.az, c.off, max(r.m) AS top FROM pair c, generate_series(-2, 2) g(d), (SELECT count(*) AS n FROM embeddings) z JOIN pair r ON r.off = c.off AND r.az = (c.az + d + z.n) % z.n GROUP BY c.az, c.off),
+k AS (SELECT c.*, p, paz, poff, {_WAY.replace('n_az', 'c.n_az')} AS way, n.top AS top7, t.top AS top5 FROM cells c JOIN nearby n USING (az, off) JOIN near5 t USING (az, off), peak),
+f AS (SELECT *, way <= 5 AND abs(off - poff) <= 3 AS near, way <= 3 AND abs(off - poff) <= 3 AS lobe, az = paz AND off = poff AS is_peak, score = top7 AND score >= p - greatest(abs(p) * 0.2, 1e-9) AS rival FROM k),
+a AS (SELECT min(p) AS p, max(score) FILTER (NOT near) AS side, stddev_pop(score) FILTER (NOT near) AS sd, avg(score) AS mean, max(score) FILTER (NOT lobe) AS most, count(*) FILTER (rival OR is_peak) AS n_peaks,
+  min(sqrt(power((off - poff) * {STEP_M}, 2) + power(way * ({STEP_M} * {65 - N} * pi() / 180), 2))) FILTER (rival AND NOT is_peak) AS isolation FROM f),
+d AS (SELECT *, CASE WHEN p <= 0 THEN 0 ELSE 20 * log10(greatest(p, 1e-10) / greatest(abs(coalesce(most, 1e-10)), 1e-10)) END AS pslr, p / greatest(sd, 1e-9) AS to_side FROM a),
+c AS (SELECT list(az::INT ORDER BY score DESC, az, off) AS cand_az, list(off::INT ORDER BY score DESC, az, off) AS cand_off, list(round(score, 6) ORDER BY score DESC, az, off) AS cand_score FROM (SELECT * FROM f WHERE score = top5 ORDER BY score DESC, az, off LIMIT 8))
+SELECT f.az::INT AS az, f.off::INT AS off, round(f.score, 6) AS score, round(f.ncc, 6) AS ncc, round(f.msd, 6) AS msd, round((f.az + {_sub('a0', 'f.score', 'a1')} + f.n_az) % f.n_az, 5) AS az_sub, round(greatest(least(f.off + {_sub('o0', 'f.score', 'o1')}, 64 - {N}), 0), 5) AS off_sub,
+  round(greatest(d.p - side, 0), 6) AS confidence, round(to_side, 5) AS to_side, round(d.p / greatest(abs(mean), 1e-9), 5) AS to_mean, d.p >= 0.5 AND to_side >= 1.3 AND NOT (pslr < 3 OR n_peaks > 2) AS reliable,
+  round(pslr, 5) AS pslr_db, n_peaks::BIGINT AS n_peaks, round(isolation, 4) AS isolation_m, pslr < 3 OR n_peaks > 2 AS ambiguous, cand_az, cand_off, cand_score FROM f, d, c WHERE f.is_peak"""
+
+
+@plans.add("full_match", _FULL)
+def full_match(spark, sf_dir):
+    """Peak, quality, ambiguity and candidates from one pass over the reference rows."""
+    got = fullmatch.full_match(reference(spark, sf_dir), measured(spark, sf_dir), SCALE, STEP_M)
+    digits = {"score": 6, "ncc": 6, "msd": 6, "az_sub": 5, "off_sub": 5, "confidence": 6, "to_side": 5, "to_mean": 5, "pslr_db": 5, "isolation_m": 4}
+    plain = [F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in ("az", "off", *digits, "reliable", "n_peaks", "ambiguous")]
+    each = lambda name: F.transform("candidates", lambda c: c[name])
+    return got.select(*plain, each("az").alias("cand_az"), each("off").alias("cand_off"), F.transform("candidates", lambda c: F.round(c["score"], 6)).alias("cand_score"))
