@@ -61,3 +61,27 @@ def window_duration(first: Column, last: Column, n: Column, hz: float) -> Column
 def fold_mean(ordered: Column, start: float, gain: float) -> Column:
     """b = (1 - gain) * b + gain * x over an ordered array; nulls are left out."""
     return F.aggregate(F.filter(ordered, lambda x: x.isNotNull()), F.lit(start), lambda b, x: b * (1 - gain) + x * gain)
+
+
+def position_solve(matches: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Fixes of matched windows, with motion from the fix before.
+
+    matches: start_east, start_north (metres), azimuth, offset_m, span_m, duration_s, dt_s (from the fix before), one for each window of
+    a track. Adds fix_east, fix_north (from the start by offset and span along the azimuth), fix_t (seconds from the track's first
+    fix) and fix_speed, fix_heading: from the last fix to this one, and for the first one the span's and the azimuth. A match without
+    azimuth or offset, or that lasts no time, gives no fix and is passed over by the next one. dt_s of passed ones counts.
+    """
+    w = order(keys, by)
+    b, way = F.radians("azimuth"), F.col("offset_m") + F.col("span_m")
+    can = F.col("azimuth").isNotNull() & F.col("offset_m").isNotNull() & (F.col("duration_s") > 0)
+    placed = matches.withColumns({"fix_east": F.when(can, F.col("start_east") + way * F.sin(b)), "fix_north": F.when(can, F.col("start_north") + way * F.cos(b)), "_t": F.sum("dt_s").over(w.rowsBetween(W.unboundedPreceding, 0))})
+    fix = F.when(F.col("fix_east").isNotNull(), F.struct(F.col("fix_east").alias("east"), F.col("fix_north").alias("north"), F.col("_t").alias("t")))
+    before = F.last(fix, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    start = F.first(fix, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    moved = placed.withColumns({"_before": before, "_start": start})
+    east, north, dt = F.col("fix_east") - F.col("_before.east"), F.col("fix_north") - F.col("_before.north"), F.col("_t") - F.col("_before.t")
+    first = F.col("_before").isNull()
+    speed = F.when(first, F.col("span_m") / F.col("duration_s")).when(dt > 0, F.hypot(east, north) / dt)
+    heading = F.pmod(F.when(first, F.col("azimuth")).otherwise(F.degrees(F.atan2(east, north))), F.lit(360.0))
+    has = F.col("fix_east").isNotNull()
+    return moved.withColumns({"fix_t": F.when(has, F.col("_t") - F.col("_start.t")), "fix_speed": F.when(has, speed), "fix_heading": F.when(has, heading)}).drop("_t", "_before", "_start")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import angles
 from plumbline.operators import decide as D
+from plumbline.operators import ordered as O
 
 from .base import SAMPLES_SQL, Plans, r6, samples
 
@@ -201,3 +202,19 @@ def distinct_candidates(spark, sf_dir):
 def motion_state_update(spark, sf_dir):
     """Speed and heading for the next window: an accepted fix gives both, a predicted one its heading only."""
     return matches(spark, sf_dir).select("event_id", F.when(F.col("reliable"), F.col("new_speed")).otherwise(F.col("speed")).alias("speed"), F.coalesce("az", "heading").alias("heading"))
+
+
+_SOLVE = f"""WITH {MATCH_SQL}, s AS (SELECT event_id, user_id, ts, (event_id % 50)::DOUBLE * 100 AS se, (event_id % 70)::DOUBLE * 90 AS sn, az, abs(off) AS o, speed * 19 AS span, CASE WHEN event_id % 31 = 0 THEN 0.0::DOUBLE ELSE 19.0::DOUBLE END AS dur, dt FROM m),
+p AS (SELECT *, az IS NOT NULL AND dur > 0 AS has, se + (o + span) * sin(radians(az)) AS fe, sn + (o + span) * cos(radians(az)) AS fn, sum(dt) OVER w AS t FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+l AS (SELECT *, lag(fe) OVER w AS be, lag(fn) OVER w AS bn, lag(t) OVER w AS bt, first_value(t) OVER w AS t0 FROM p WHERE has WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT p.event_id, round(l.fe, 5) AS fix_east, round(l.fn, 5) AS fix_north, round(l.t - l.t0, 6) AS fix_t, round(CASE WHEN l.bt IS NULL THEN l.span / l.dur ELSE sqrt(power(l.fe - l.be, 2) + power(l.fn - l.bn, 2)) / (l.t - l.bt) END, 5) AS fix_speed,
+  round(((CASE WHEN l.bt IS NULL THEN l.az ELSE degrees(atan2(l.fe - l.be, l.fn - l.bn)) END % 360) + 360) % 360, 5) AS fix_heading FROM p LEFT JOIN l USING (event_id)"""
+
+
+@plans.add("position_solve", _SOLVE)
+def position_solve(spark, sf_dir):
+    """Fixes of every match from its start, bearing and offset, with speed and heading from the fix before."""
+    i = F.col("event_id")
+    m = matches(spark, sf_dir).select("event_id", "user_id", "ts", ((i % 50).cast("double") * 100).alias("start_east"), ((i % 70).cast("double") * 90).alias("start_north"), F.col("az").alias("azimuth"), F.abs("off").alias("offset_m"), (F.col("speed") * 19).alias("span_m"), F.when(i % 31 == 0, 0.0).otherwise(19.0).alias("duration_s"), F.col("dt").alias("dt_s"))
+    f = O.position_solve(m, ["user_id"], ["ts", "event_id"])
+    return f.select("event_id", F.round("fix_east", 5).alias("fix_east"), F.round("fix_north", 5).alias("fix_north"), r6("fix_t").alias("fix_t"), F.round("fix_speed", 5).alias("fix_speed"), F.round("fix_heading", 5).alias("fix_heading"))
