@@ -145,10 +145,11 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> Network | None:
     """Trains on rows of docs (doc_id, text, lang) that are not held out and have a language: PER_LANGUAGE texts at most of each of the
-    LANGUAGES most frequent languages, those of least hash, WINDOWS windows of each. None without such rows. Rows with a null doc_id
+    LANGUAGES languages of most distinct texts, those of least hash, WINDOWS windows of each. None without such rows. Rows with a null doc_id
     count as not held out; rows that repeat a text and its language count once, so the bound holds whatever the rows hold."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(), F.lit(False))).select("lang", F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    # distinct texts, as the sample takes each of them once: by rows a language of few texts that come often would be left with none
+    counts = {r.lang: r.n for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     # a threshold on the hash leaves about as many as are asked for; ranks cut the rest

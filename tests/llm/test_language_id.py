@@ -42,6 +42,17 @@ def test_sample_is_bounded_and_letters_are_of_category_l(spark, monkeypatch):
     assert {r.doc_id for r in L.predict(odd, L.Network(["en"])).where("lang_pred = 'und'").collect()} == {1, 2}
 
 
+def test_a_language_of_few_texts_that_come_often_stays(spark, monkeypatch):
+    """The sample is drawn from distinct texts, whatever their rows."""
+    monkeypatch.setattr(L, "PER_LANGUAGE", 100)
+    seen = []
+    monkeypatch.setattr(L, "train", lambda x, y, labels: seen.append(dict(zip(labels, np.bincount(y).tolist(), strict=True))))
+    often = spark.range(30_000).selectExpr("id as doc_id", "concat('text ', id % 120) as text", "'en' as lang")
+    rare = spark.range(100_000, 100_300).selectExpr("id as doc_id", "concat('wort ', id) as text", "'de' as lang")
+    L.fit(often.union(rare))
+    assert min(seen[0].values()) > 60, seen
+
+
 def test_gradients_and_tables():
     rng = np.random.default_rng(1)
     net = L.Network(["a", "b", "c"])
