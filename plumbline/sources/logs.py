@@ -15,9 +15,17 @@ TRAJECTORY = T.StructType([T.StructField("index", _I), *(T.StructField(n, _D) fo
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files in order: file, line_no (from 1 in each file), line. Files are split, so lines are numbered by their place within the file, part by part."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    return raw.withColumn("line_no", F.row_number().over(W.partitionBy("file").orderBy("at"))).select("file", "line_no", "line")
+    """Lines of text files in order: file, line_no (from 1 in each file), line.
+
+    A file is read in splits, and each is numbered by itself: what comes before it in its file is known from the counts of the
+    splits, one row each. So a log of any length is numbered by as many tasks as read it.
+    """
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
+    raw = spark.read.text(path).select(*meta, F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    counts = spark.read.text(path).select(*meta).groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("file", "split", (F.sum("n").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    within = raw.withColumn("i", F.row_number().over(W.partitionBy("file", "split").orderBy("at")))
+    return within.join(before, ["file", "split"]).select("file", (F.col("before") + F.col("i")).cast("int").alias("line_no"), "line")
 
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
