@@ -142,3 +142,51 @@ def geodesic_to_local(lat0: pd.Series, lon0: pd.Series, lat: pd.Series, lon: pd.
 def geodesic_from_local(lat0: pd.Series, lon0: pd.Series, east: pd.Series, north: pd.Series) -> pd.DataFrame:
     a, b = wgs84_forward(lat0, lon0, np.degrees(np.arctan2(east, north)), np.hypot(east, north))
     return pd.DataFrame({"lat": a, "lon": b})
+
+
+#: The scale on a zone's middle meridian, and what is added to eastings, and to northings in the south.
+UTM_SCALE, UTM_EAST, UTM_SOUTH = 0.9996, 500_000.0, 10_000_000.0
+
+
+def _mercator() -> tuple[float, float, list[float], list[float]]:
+    """Third flattening, radius of the rectified meridian, and the series of the transverse Mercator projection and of its inverse, to the fourth order in the third flattening."""
+    n = FLAT / (2 - FLAT)
+    radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    ahead = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+    back = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    return n, radius, ahead, back
+
+
+def utm_forward(lat: Column, lon: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """(easting, northing) metres in a UTM zone on WGS84."""
+    n, radius, ahead, _ = _mercator()
+    k = 2 * np.sqrt(n) / (1 + n)
+    dl, s = F.radians(lon - (6.0 * zone - 183)), F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(s) - F.atanh(s * k) * k)
+    xi, eta = F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(t * t + 1))
+    north, east = xi, eta
+    for j, a in enumerate(ahead, 1):
+        north, east = north + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a, east + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a
+    return east * (UTM_SCALE * radius) + UTM_EAST, north * (UTM_SCALE * radius) + (UTM_SOUTH if south else 0.0)
+
+
+def utm_inverse(easting: Column, northing: Column, zone: int, south: bool = False) -> tuple[Column, Column]:
+    """(lat, lon) of a place in a UTM zone. The latitude comes from the conformal one by the steps of Newton's method."""
+    n, radius, _, back = _mercator()
+    e = 2 * np.sqrt(n) / (1 + n)
+    xi0, eta0 = (northing - (UTM_SOUTH if south else 0.0)) / (UTM_SCALE * radius), (easting - UTM_EAST) / (UTM_SCALE * radius)
+    xi, eta = xi0, eta0
+    for j, b in enumerate(back, 1):
+        xi, eta = xi - F.sin(xi0 * (2 * j)) * F.cosh(eta0 * (2 * j)) * b, eta - F.cos(xi0 * (2 * j)) * F.sinh(eta0 * (2 * j)) * b
+    # tangents of the conformal latitude wanted, and of the latitude
+    want = F.sin(xi) / F.sqrt(F.sinh(eta) * F.sinh(eta) + F.cos(xi) * F.cos(xi))
+
+    def step(t: Column) -> Column:
+        root = F.sqrt(t * t + 1)
+        sigma = F.sinh(F.atanh(t / root * e) * e)
+        got = t * F.sqrt(sigma * sigma + 1) - sigma * root
+        slope = (F.sqrt(got * got + 1) * F.sqrt(t * t + 1)) * (1 - e * e) / (1 + (1 - e * e) * t * t)
+        return t - (got - want) / slope
+
+    tan = F.aggregate(F.sequence(F.lit(1), F.lit(4)), want, lambda t, _: step(t))
+    return F.degrees(F.atan(tan)), F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + (6.0 * zone - 183)
