@@ -72,15 +72,26 @@ def best(cells: DataFrame, n: int = 1) -> DataFrame:
     return cells.orderBy(F.desc_nulls_last("score"), "az", "off").limit(n).where("score is not null")
 
 
+#: Azimuths of one block of a heatmap: windows around the axis are cut into blocks, so that tasks grow with the azimuths.
+BLOCK = 256
+
+
+def _blocks(cells: DataFrame, radius: int, n_az: int) -> DataFrame:
+    """Cells dealt to blocks of azimuths: _b, _z (the azimuth, continued beyond the ends for cells of a halo) and _own. Each block also has the cells of radius azimuths on both sides, around the ends."""
+    az = F.col("az").cast("int")
+    # the first and last rows are repeated beyond the other end
+    shifts = F.filter(F.array(F.lit(0), F.when(az < radius, F.lit(n_az)), F.when(az >= n_az - radius, F.lit(-n_az))), lambda x: x.isNotNull())
+    homes = lambda z: F.array_distinct(F.array(F.floor((z - radius) / BLOCK), F.floor(z / BLOCK), F.floor((z + radius) / BLOCK)))
+    at = F.flatten(F.transform(shifts, lambda s: F.transform(homes(az + s), lambda b: F.struct((az + s).alias("_z"), b.cast("int").alias("_b"), ((s == 0) & (b == F.floor(az / BLOCK))).alias("_own")))))
+    return cells.withColumn("_at", F.explode(at)).select("*", "_at.*").drop("_at")
+
+
 def local_maxima(cells: DataFrame, radius: int, n_az: int) -> DataFrame:
-    """Cells that no cell within radius tops, az around in n_az steps, off cut at the ends; plateaus count as a whole. Two window passes, one along each axis."""
+    """Cells that no cell within radius tops, az around in n_az steps, off cut at the ends; plateaus count as a whole. Two window passes, one along each axis, the second within blocks of azimuths."""
     along = W.partitionBy("az").orderBy("off").rowsBetween(-radius, radius)
-    rows = cells.withColumn("_m", F.max("score").over(along)).withColumn("_z", F.col("az"))
-    # the first and last rows are repeated beyond the other end
-    shifts = F.array(F.lit(0), F.when(F.col("az") < radius, F.lit(n_az)), F.when(F.col("az") >= n_az - radius, F.lit(-n_az)))
-    wrapped = rows.withColumn("_s", F.explode(F.filter(shifts, lambda x: x.isNotNull()))).withColumn("_z", F.col("az") + F.col("_s"))
-    around = W.partitionBy("off").orderBy("_z").rangeBetween(-radius, radius)
-    return wrapped.withColumn("_top", F.max("_m").over(around)).where("_s = 0 and score is not null and score = _top").drop("_m", "_z", "_s", "_top")
+    rows = cells.withColumn("_m", F.max("score").over(along))
+    around = W.partitionBy("_b", "off").orderBy("_z").rangeBetween(-radius, radius)
+    return _blocks(rows, radius, n_az).withColumn("_top", F.max("_m").over(around)).where("_own and score is not null and score = _top").drop("_m", "_z", "_b", "_own", "_top")
 
 
 def vertex(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
@@ -91,14 +102,11 @@ def vertex(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
 
 
 def with_neighbours(cells: DataFrame, n_az: int) -> DataFrame:
-    """Adds the scores before and after each cell along off (null at the ends) as o0, o1 and around az as a0, a1."""
-    along = W.partitionBy("az").orderBy("off")
-    around = W.partitionBy("off").orderBy("az")
-    every = around.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return cells.withColumns({
-        "o0": F.lag("score").over(along), "o1": F.lead("score").over(along),
-        "a0": F.coalesce(F.lag("score").over(around), F.last("score").over(every)), "a1": F.coalesce(F.lead("score").over(around), F.first("score").over(every)),
-    })
+    """Adds the scores before and after each cell along off (null at the ends) as o0, o1 and around az as a0, a1 (within blocks of azimuths)."""
+    along, around = W.partitionBy("az").orderBy("off"), W.partitionBy("_b", "off").orderBy("_z")
+    rows = cells.withColumns({"o0": F.lag("score").over(along), "o1": F.lead("score").over(along)})
+    dealt = _blocks(rows, 1, n_az).withColumns({"a0": F.lag("score").over(around), "a1": F.lead("score").over(around)})
+    return dealt.where("_own").drop("_z", "_b", "_own")
 
 
 def sigma(curvature: Column) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from plumbline.operators import fullmatch as M
+from plumbline.operators import match
 from plumbline.operators.features import both_scores
 
 STEP = 30.0
@@ -71,3 +72,20 @@ def test_plateaus_and_nothing(spark):
     r = M.full_match(flat, h, 1.0, STEP).first()
     assert (r.az, r.off) == (0, 0) and r.n_peaks == 40 and len(r.candidates) == 8 and r.confidence == 0 and r.isolation_m == pytest.approx(STEP * 4 * math.pi / 180)
     assert M.full_match(flat.limit(0), h, 1.0, STEP).count() == 0
+
+
+@pytest.mark.parametrize(("n", "block"), [(40, 16), (40, 256), (33, 8), (7, 3), (2, 256), (1, 256)])
+def test_maxima_and_neighbours_in_blocks(spark, monkeypatch, n, block):
+    """Blocks of any size give what whole columns of the heatmap give."""
+    monkeypatch.setattr(match, "BLOCK", block)
+    rng = np.random.default_rng(n)
+    heat = np.round(rng.normal(size=(n, 9)), 1)
+    cells = spark.createDataFrame([(i, j, None if (i * 9 + j) % 11 == 3 else float(heat[i, j])) for i in range(n) for j in range(9)], "az int, off int, score double")
+    heat[np.arange(n * 9).reshape(n, 9) % 11 == 3] = -np.inf
+    for radius in (2, 3):
+        got = {(r.az, r.off) for r in match.local_maxima(cells, radius, n).collect()}
+        want = {(i, j) for i, j in np.ndindex(heat.shape) if np.isfinite(heat[i, j]) and heat[i, j] == heat[np.arange(i - radius, i + radius + 1) % n, max(0, j - radius) : j + radius + 1].max()}
+        assert got == want
+    value = lambda i, j: None if not 0 <= j < 9 or not np.isfinite(heat[i % n, j]) else heat[i % n, j]
+    for r in match.with_neighbours(cells, n).collect():
+        assert (r.o0, r.o1, r.a0, r.a1) == (value(r.az, r.off - 1), value(r.az, r.off + 1), value(r.az - 1, r.off), value(r.az + 1, r.off))
