@@ -70,10 +70,10 @@ def write_sentences(df: DataFrame, by: list[str], path: str) -> None:
 
 
 def trajectory(fixes: DataFrame, lat0: float, lon0: float, hz: float) -> DataFrame:
-    """Output rows of a track: index, seconds, place from the start, place, motion."""
-    east, north = geo.to_local(F.lit(lat0), F.lit(lon0), F.col("lat"), F.col("lon"))
+    """Output rows of a track: index, seconds, place from the start (east and north on the ellipsoid), place, motion."""
     r: Column = F.round
-    return fixes.select("index", r(F.col("index") / hz, 3).alias("timestamp_s"), r(east, 3).alias("local_x_m"), r(north, 3).alias("local_y_m"), r("lat", 8).alias("lat"), r("lon", 8).alias("lon"), r("speed_mps", 3).alias("speed_mps"), r("azimuth_deg", 3).alias("azimuth_deg"))
+    east, north = F.col("local.east"), F.col("local.north")
+    return fixes.withColumn("local", geo.geodesic_to_local(F.lit(lat0), F.lit(lon0), F.col("lat"), F.col("lon"))).select("index", r(F.col("index") / hz, 3).alias("timestamp_s"), r(east, 3).alias("local_x_m"), r(north, 3).alias("local_y_m"), r("lat", 8).alias("lat"), r("lon", 8).alias("lon"), r("speed_mps", 3).alias("speed_mps"), r("azimuth_deg", 3).alias("azimuth_deg"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
