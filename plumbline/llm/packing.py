@@ -8,6 +8,7 @@ patterns whatever the corpus is. Pieces find their place by their rank within th
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -45,11 +46,20 @@ def _word_pattern() -> re.Pattern:
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def _parts_alike(file: dict) -> bool:
+    """Whether a tokenizer's file parts texts by the pattern that is spelled out here, changes nothing before, and gives each word its ids by itself."""
+    parts, model = file["pre_tokenizer"] or {}, file["model"]
+    plain = not any(file[k] for k in ("normalizer", "truncation", "padding"))
+    bytes_ = parts.get("type") == "ByteLevel" and parts.get("use_regex", True) and not parts.get("add_prefix_space")
+    return plain and bytes_ and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "unk_token", "ignore_merges"))
+
+
 class Encoder(dict):
     """Ids by a byte-level BPE file of the library tokenizers. The file's pattern parts a text into words and each word has ids of its
     own, so the ids of words that come again are kept; texts of other than plain characters, or with a special token, are encoded whole.
 
-    The dict gives each kept word a number; the ids of word k are flat[starts[k] : starts[k + 1]]."""
+    The dict gives each kept word a number; the ids of word k are flat[starts[k] : starts[k + 1]]. A file that parts or changes texts in
+    another way encodes them whole."""
 
     def __init__(self, path: str):
         # a task has one core; the library's own threads would take others'
@@ -59,10 +69,12 @@ class Encoder(dict):
         super().__init__()
         self.full, self.words = Tokenizer.from_file(path), _word_pattern()
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.model = self.full.model
+        self.model, self.parted = self.full.model, _parts_alike(json.loads(self.full.to_str()))
+        self.flat, self.starts = array("I"), array("q", [0])
+        if not self.parted:
+            return
         # the signs that the file's pre-tokenizer puts for a character's bytes; the model takes a word in these
         self.signs = {k: self.full.pre_tokenizer.pre_tokenize_str(chr(k))[0][0] for k in range(0x2060) if _PLAIN.fullmatch(chr(k))}
-        self.flat, self.starts = array("I"), array("q", [0])
 
     def __missing__(self, word: str) -> int:
         self.flat.extend([t.id for t in self.model.tokenize(word.translate(self.signs))])
@@ -85,7 +97,7 @@ class Encoder(dict):
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if not _PLAIN.fullmatch(text) or any(x in text for x in self.special):
+        if not self.parted or not _PLAIN.fullmatch(text) or any(x in text for x in self.special):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(text) < LONG_TEXT:
             return self._joined(self.words.findall(text))

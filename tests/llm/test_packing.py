@@ -1,3 +1,5 @@
+import json
+import pathlib
 import random
 import zlib
 from collections import defaultdict
@@ -106,3 +108,20 @@ def test_fullest_and_plan():
             total[n] = total.get(n, 0) + bins * k
     assert total == counts
     assert sum(b for b, _ in P.plan(counts)) <= 1.006 * bound([n for n, c in counts.items() for _ in range(c)])
+
+
+def test_other_tokenizer_files_are_followed(tmp_path):
+    """Files that change texts first, or part them in another way, give the ids that the library gives."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    given = json.loads(pathlib.Path(path).read_text())
+    texts = ["Hello World, it's 12 o'clock", " leading and  double spaces\n", "", "é Ünï 日本", "A" * 50, "mixed CASE Words 3.14"]
+    changes = {
+        "as it is": {}, "lower case": {"normalizer": {"type": "Lowercase"}}, "prefix": {"pre_tokenizer": given["pre_tokenizer"] | {"add_prefix_space": True}}, "no pattern": {"pre_tokenizer": given["pre_tokenizer"] | {"use_regex": False}},
+        "cut": {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}},
+    }
+    for name, change in changes.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(given | change))
+        mine, theirs = P.Encoder(str(tmp_path / f"{name}.json")), Tokenizer.from_file(str(tmp_path / f"{name}.json"))
+        assert mine.parted == (name == "as it is")
+        for t in texts:
+            assert mine.ids(t).tolist() == theirs.encode(t, add_special_tokens=False).ids, (name, t)
