@@ -210,7 +210,21 @@ def observability(spark, sf_dir, noise_m: float = 3.0):
     return g.select("az", F.round("energy", 4).alias("energy"), r6(crlb).alias("crlb_m"), r6(F.coalesce(1 / (1 + crlb / STEP_M), F.lit(0.0))).alias("hint"), F.coalesce((crlb <= 250) & (F.col("energy") > 0.05), F.lit(False)).alias("informative"))
 
 
-@plans.add("terrain_features")
+def _gradient_sql(value: str, source: str) -> str:
+    return f"SELECT *, CASE WHEN pos = 0 THEN lead({value}) OVER w - {value} WHEN pos = n - 1 THEN {value} - lag({value}) OVER w ELSE (lead({value}) OVER w - lag({value}) OVER w) / 2 END AS g FROM {source} WINDOW w AS (PARTITION BY az ORDER BY pos)"
+
+
+#: Parabolas over five samples as weights: the first two and last two samples lie on the end parabola.
+_FEATURES = f"""WITH l AS (SELECT vec_id AS az, embedding::DOUBLE[] AS l, len(embedding) AS n FROM embeddings), q AS (SELECT *, unnest(generate_series(0, n - 1)) AS pos FROM l),
+h AS (SELECT az, pos, n, CASE WHEN pos = 0 THEN 31 * l[1] + 9 * l[2] - 3 * l[3] - 5 * l[4] + 3 * l[5] WHEN pos = 1 THEN 9 * l[1] + 13 * l[2] + 12 * l[3] + 6 * l[4] - 5 * l[5] WHEN pos = n - 2 THEN -5 * l[n - 4] + 6 * l[n - 3] + 12 * l[n - 2] + 13 * l[n - 1] + 9 * l[n]
+  WHEN pos = n - 1 THEN 3 * l[n - 4] - 5 * l[n - 3] - 3 * l[n - 2] + 9 * l[n - 1] + 31 * l[n] ELSE -3 * l[pos - 1] + 12 * l[pos] + 17 * l[pos + 1] + 12 * l[pos + 2] - 3 * l[pos + 3] END / 35 AS x FROM q),
+s AS ({_gradient_sql('x', 'h')}), c AS ({_gradient_sql('g', "(SELECT az, pos, n, g FROM s)").replace(' AS g FROM', ' AS k FROM')}),
+a AS (SELECT az, pos, 1 AS part, 0.5::DOUBLE AS w, x FROM h UNION ALL SELECT az, pos, 2, 0.3, g FROM s UNION ALL SELECT az, pos, 3, 0.2, k FROM c),
+m AS (SELECT *, avg(x) OVER p AS mean, stddev_pop(x) OVER p AS sd FROM a WINDOW p AS (PARTITION BY az, part))
+SELECT az::INT AS az, list(round(CASE WHEN sd > 1e-12 * greatest(abs(mean), 1) THEN w * (x - mean) / sd ELSE 0 END, 6) ORDER BY part, pos) AS features FROM m GROUP BY az"""
+
+
+@plans.add("terrain_features", _FEATURES)
 def terrain_features(spark, sf_dir):
     """Smoothed height, slope and curvature of each reference row, standardised and weighted, end to end."""
     got = reference(spark, sf_dir).select("az", features.terrain_features("profile").alias("f"))
