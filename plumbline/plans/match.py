@@ -210,18 +210,27 @@ def observability(spark, sf_dir, noise_m: float = 3.0):
     return g.select("az", F.round("energy", 4).alias("energy"), r6(crlb).alias("crlb_m"), r6(F.coalesce(1 / (1 + crlb / STEP_M), F.lit(0.0))).alias("hint"), F.coalesce((crlb <= 250) & (F.col("energy") > 0.05), F.lit(False)).alias("informative"))
 
 
-def _gradient_sql(value: str, source: str) -> str:
-    return f"SELECT *, CASE WHEN pos = 0 THEN lead({value}) OVER w - {value} WHEN pos = n - 1 THEN {value} - lag({value}) OVER w ELSE (lead({value}) OVER w - lag({value}) OVER w) / 2 END AS g FROM {source} WINDOW w AS (PARTITION BY az ORDER BY pos)"
+def _gradient_sql(value: str, source: str, out: str) -> str:
+    return f"SELECT az, off, pos, n, {value}, CASE WHEN pos = 0 THEN lead({value}) OVER w - {value} WHEN pos = n - 1 THEN {value} - lag({value}) OVER w ELSE (lead({value}) OVER w - lag({value}) OVER w) / 2 END AS {out} FROM {source} WINDOW w AS (PARTITION BY az, off ORDER BY pos)"
 
 
-#: Parabolas over five samples as weights: the first two and last two samples lie on the end parabola.
-_FEATURES = f"""WITH l AS (SELECT vec_id AS az, embedding::DOUBLE[] AS l, len(embedding) AS n FROM embeddings), q AS (SELECT *, unnest(generate_series(0, n - 1)) AS pos FROM l),
-h AS (SELECT az, pos, n, CASE WHEN pos = 0 THEN 31 * l[1] + 9 * l[2] - 3 * l[3] - 5 * l[4] + 3 * l[5] WHEN pos = 1 THEN 9 * l[1] + 13 * l[2] + 12 * l[3] + 6 * l[4] - 5 * l[5] WHEN pos = n - 2 THEN -5 * l[n - 4] + 6 * l[n - 3] + 12 * l[n - 2] + 13 * l[n - 1] + 9 * l[n]
-  WHEN pos = n - 1 THEN 3 * l[n - 4] - 5 * l[n - 3] - 3 * l[n - 2] + 9 * l[n - 1] + 31 * l[n] ELSE -3 * l[pos - 1] + 12 * l[pos] + 17 * l[pos + 1] + 12 * l[pos + 2] - 3 * l[pos + 3] END / 35 AS x FROM q),
-s AS ({_gradient_sql('x', 'h')}), c AS ({_gradient_sql('g', "(SELECT az, pos, n, g FROM s)").replace(' AS g FROM', ' AS k FROM')}),
-a AS (SELECT az, pos, 1 AS part, 0.5::DOUBLE AS w, x FROM h UNION ALL SELECT az, pos, 2, 0.3, g FROM s UNION ALL SELECT az, pos, 3, 0.2, k FROM c),
-m AS (SELECT *, avg(x) OVER p AS mean, stddev_pop(x) OVER p AS sd FROM a WINDOW p AS (PARTITION BY az, part))
-SELECT az::INT AS az, list(round(CASE WHEN sd > 1e-12 * greatest(abs(mean), 1) THEN w * (x - mean) / sd ELSE 0 END, 6) ORDER BY part, pos) AS features FROM m GROUP BY az"""
+def _features_sql(lists: str, name: str) -> str:
+    """Tables that end in name (az, off, part, pos, n, f) of the features of lists l, of n values each. Parabolas over five samples are weights; the first two and last two samples lie on the end parabola."""
+    t = lambda k: f"{name}_{k}"
+    return f"""{t('q')} AS (SELECT *, unnest(generate_series(0, n - 1)) AS pos FROM ({lists})),
+{t('h')} AS (SELECT az, off, pos, n, CASE WHEN pos = 0 THEN 31 * l[1] + 9 * l[2] - 3 * l[3] - 5 * l[4] + 3 * l[5] WHEN pos = 1 THEN 9 * l[1] + 13 * l[2] + 12 * l[3] + 6 * l[4] - 5 * l[5] WHEN pos = n - 2 THEN -5 * l[n - 4] + 6 * l[n - 3] + 12 * l[n - 2] + 13 * l[n - 1] + 9 * l[n]
+  WHEN pos = n - 1 THEN 3 * l[n - 4] - 5 * l[n - 3] - 3 * l[n - 2] + 9 * l[n - 1] + 31 * l[n] ELSE -3 * l[pos - 1] + 12 * l[pos] + 17 * l[pos + 1] + 12 * l[pos + 2] - 3 * l[pos + 3] END / 35 AS x FROM {t('q')}),
+{t('s')} AS ({_gradient_sql('x', t('h'), 'g')}), {t('c')} AS ({_gradient_sql('g', t('s'), 'k')}),
+{t('a')} AS (SELECT az, off, pos, n, 1 AS part, 0.5::DOUBLE AS w, x FROM {t('h')} UNION ALL SELECT az, off, pos, n, 2, 0.3, g FROM {t('s')} UNION ALL SELECT az, off, pos, n, 3, 0.2, k FROM {t('c')}),
+{t('m')} AS (SELECT *, avg(x) OVER p AS mean, stddev_pop(x) OVER p AS sd FROM {t('a')} WINDOW p AS (PARTITION BY az, off, part)),
+{name} AS (SELECT az, off, part, pos, n, CASE WHEN sd > 1e-12 * greatest(abs(mean), 1) THEN w * (x - mean) / sd ELSE 0 END AS f FROM {t('m')})"""
+
+
+_FEATURES = f"WITH {_features_sql('SELECT vec_id AS az, 0 AS off, embedding::DOUBLE[] AS l, len(embedding) AS n FROM embeddings', 'f')} SELECT az::INT AS az, list(round(f, 6) ORDER BY part, pos) AS features FROM f GROUP BY az"
+_FEATURE_METRIC = f"""WITH {REF_SQL}, {MEAS_SQL}, {_features_sql(f"SELECT vec_id AS az, o AS off, embedding[o + 1:o + {N}]::DOUBLE[] AS l, {N} AS n FROM embeddings, generate_series(0, 64 - {N}) g(o)", 'f')},
+{_features_sql(f"SELECT 0 AS az, 0 AS off, list(h ORDER BY i) AS l, {N} AS n FROM meas", 'own')},
+s AS (SELECT f.az, f.off, sum(f.f * own.f * power({_HANN.replace('i *', 'f.pos *')}, 2)) AS d, sqrt(sum(power(f.f * {_HANN.replace('i *', 'f.pos *')}, 2))) AS a, sqrt(sum(power(own.f * {_HANN.replace('i *', 'f.pos *')}, 2))) AS b FROM f JOIN own USING (part, pos) GROUP BY f.az, f.off)
+SELECT az::INT AS az, off::INT AS off, round(CASE WHEN a * b > 1e-12 THEN d / (a * b) ELSE 0 END, 6) AS score FROM s"""
 
 
 @plans.add("terrain_features", _FEATURES)
@@ -231,7 +240,7 @@ def terrain_features(spark, sf_dir):
     return got.select("az", F.transform("f", lambda x: F.round(x, 6)).alias("features"))
 
 
-@plans.add("match_feature_metric")
+@plans.add("match_feature_metric", _FEATURE_METRIC)
 def match_feature_metric(spark, sf_dir):
     """Cells scored by the likeness of their features instead of their heights."""
     return features.feature_heatmap(reference(spark, sf_dir), measured(spark, sf_dir)).select("az", "off", r6("score").alias("score"))
