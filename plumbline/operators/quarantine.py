@@ -1,7 +1,8 @@
 """Kernels that may fail: rows that can't be worked on are set aside with the cause, and the others go on.
 
 A batch is tried as a whole; only one that fails is halved until the rows that fail stand alone. So a table without bad rows costs
-nothing more, and each bad row some calls more by the logarithm of its batch.
+nothing more, and each bad row some calls more by the logarithm of its batch. Where bad rows are many, a kernel tells them by refuse:
+then all that it refuses for one cause cost one call.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,17 +26,37 @@ class Guarded(NamedTuple):
     bad: DataFrame
 
 
+class Refused(Exception):
+    """What a kernel tells of rows that it can't work on: which of its rows, and why."""
+
+    def __init__(self, rows: np.ndarray, why: Exception):
+        super().__init__(str(why))
+        self.rows, self.why = rows, why
+
+
+def refuse(rows: pd.Series, why: Exception) -> None:
+    """Ends a kernel's call if any of its rows is marked; the marked ones are set aside with the cause, the others tried again."""
+    marked = rows.to_numpy(bool)
+    if marked.any():
+        raise Refused(marked, why)
+
+
 def _cause(e: Exception) -> str:
+    e = e.why if isinstance(e, Refused) else e
     return f"{type(e).__name__}: {e}"[:CAUSE]
 
 
 def _tried(rows: pd.DataFrame, each: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, str | None]]:
-    """(result, None) of parts of rows in their order, (row, cause) of those that fail alone."""
+    """(result, None) of parts of rows in their order, (rows, cause) of those that were refused, (row, cause) of those that fail alone."""
     try:
         yield each(rows.reset_index(drop=True)), None
     except Exception as e:  # noqa: BLE001  whatever it is, it is told beside the row
         if len(rows) == 1:
             yield rows, _cause(e)
+        elif isinstance(e, Refused) and len(e.rows) == len(rows) and e.rows.any():
+            yield rows[e.rows], _cause(e)
+            if not e.rows.all():
+                yield from _tried(rows[~e.rows], each)
         else:
             half = len(rows) // 2
             yield from _tried(rows.iloc[:half], each)
@@ -49,17 +71,32 @@ def guarded(df: DataFrame, each: Callable[[pd.DataFrame], pd.DataFrame], schema:
     gives two empty ones. written(frame) stores a frame where all executors find it and returns it as read again (as a scratch table
     does), so that each row is worked on once however often the two results are read.
     """
-    out = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes)])
-    table = f"good struct<{schema}>, bad struct<{out.replace('` ', '`: ')}>, cause string"
-    names, own = [x.split()[0].rstrip(":") for x in schema.split(", ")], df.columns
+    names, own = [x.split()[0].rstrip(":").strip("`") for x in schema.split(", ")], df.columns
+    kinds = [x.split(None, 1)[1] for x in schema.split(", ")]
+    # both results side by side, flat: columns of a batch move as they are
+    table = ", ".join([*(f"`good {c}` {t}" for c, t in zip(names, kinds, strict=True)), *(f"`bad {c}` {t}" for c, t in df.dtypes), "cause string"])
+
+    def beside(good: pd.DataFrame | None, bad: pd.DataFrame | None, cause: list | None) -> pd.DataFrame:
+        n = len(bad if good is None else good)
+        column = lambda x, c: pd.Series([None] * n, dtype=object) if x is None else x[c].reset_index(drop=True)
+        return pd.DataFrame({**{f"good {c}": column(good, c) for c in names}, **{f"bad {c}": column(bad, c) for c in own}, "cause": pd.Series([None] * n if cause is None else cause, dtype=object)})
 
     def told(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        good: dict[tuple, list[pd.DataFrame]] = {}
+        bad, causes = [], []
         for got, cause in [(rows, None)] if rows.empty else (_group(rows) if keys else _tried(rows, each)):
             if got.empty:
                 continue
-            held = [dict(zip(names if cause is None else own, r, strict=True)) for r in got[names if cause is None else own].itertuples(index=False, name=None)]
-            plain = [{k: None if _missing(v) else v for k, v in r.items()} for r in held]
-            yield pd.DataFrame({"good": plain if cause is None else [None] * len(plain), "bad": plain if cause is not None else [None] * len(plain), "cause": [cause] * len(plain)})
+            if cause is None:
+                # parts of other types are not put together: whole numbers would become floating ones
+                good.setdefault(tuple(map(str, got[names].dtypes)), []).append(got[names])
+            else:
+                bad.append(got)
+                causes += [cause] * len(got)
+        for parts in good.values():
+            yield beside(pd.concat(parts), None, None)
+        if bad:
+            yield beside(None, pd.concat(bad), causes)
 
     def _group(rows: pd.DataFrame) -> list[tuple[pd.DataFrame, str | None]]:
         try:
@@ -72,11 +109,8 @@ def guarded(df: DataFrame, each: Callable[[pd.DataFrame], pd.DataFrame], schema:
             yield from told(rows)
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([pd.DataFrame(columns=["good", "bad", "cause"]), *told(rows)])
+        # a group is good or bad as a whole
+        return next(told(rows), beside(rows.iloc[:0].reindex(columns=names), None, None))
 
     both = written(df.groupBy(*keys).applyInPandas(group, table) if keys else df.mapInPandas(batches, table))
-    return Guarded(both.where("cause is null").select("good.*"), both.where("cause is not null").select("bad.*", F.col("cause")))
-
-
-def _missing(v) -> bool:
-    return v is None or v is pd.NaT or (isinstance(v, float) and v != v)
+    return Guarded(both.where("cause is null").select(*(F.col(f"`good {c}`").alias(c) for c in names)), both.where("cause is not null").select(*(F.col(f"`bad {c}`").alias(c) for c in own), F.col("cause")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from plumbline.operators.quarantine import guarded
+from plumbline.operators.quarantine import guarded, refuse
 from plumbline.streaming.run import stored
 
 from .base import SAMPLES_SQL, Plans, r6, samples
@@ -15,10 +15,8 @@ plans = Plans()
 
 def _height(rows: pd.DataFrame) -> pd.DataFrame:
     """Terrain heights of valid samples; a strict kernel, which refuses what it can't work on."""
-    if not rows["valid"].all():
-        raise ValueError("no valid height")
-    if (rows["value"] >= 450).any():
-        raise OverflowError("beyond the sensor's range")
+    refuse(rows["valid"].ne(True), ValueError("no valid height"))
+    refuse(rows["value"] >= 450, OverflowError("beyond the sensor's range"))
     return pd.DataFrame({"event_id": rows["event_id"], "height": 1500.0 - rows["value"]})
 
 

@@ -45,6 +45,29 @@ def test_few_calls_for_few_bad_rows():
     assert pd.concat([r for r, cause in found if not cause])["id"].tolist() == [i for i in range(1024) if i != 700]
 
 
+def test_refused_rows_cost_a_call_for_each_cause():
+    calls = []
+
+    def each(rows):
+        calls.append(len(rows))
+        Q.refuse(rows["x"].isna(), ValueError("nothing to double"))
+        Q.refuse(rows["x"] > 900, OverflowError("too much"))
+        return double(rows)
+
+    rows = pd.DataFrame({"id": range(1024), "x": [None if i % 3 == 0 else float(i) for i in range(1024)], "s": ["a"] * 1024})
+    found = list(Q._tried(rows, each))
+    assert len(calls) == 3 and [(len(r), c) for r, c in found[:2]] == [(342, "ValueError: nothing to double"), (82, "OverflowError: too much")]
+    assert found[2][0]["id"].tolist() == [i for i in range(1024) if i % 3 and i <= 900] and found[2][1] is None
+
+
+def test_whole_numbers_stay_whole(spark):
+    rows = [(2**60 + i, None if i % 4 == 0 else float(i), "a") for i in range(64)]
+    df = spark.createDataFrame(rows, "id long, x double, s string").coalesce(1)
+    got = Q.guarded(df, double, "id long, y double, s string", keep)
+    assert sorted(r.id for r in got.good.collect()) == [i for i, x, _ in rows if x is not None]
+    assert sorted(r.id for r in got.bad.collect()) == [i for i, x, _ in rows if x is None]
+
+
 def test_groups_fail_as_a_whole(spark):
     df = spark.createDataFrame([(k, i, None if (k, i) == (2, 3) else float(i), "a") for k in range(5) for i in range(6)], "key int, id int, x double, s string")
     total = lambda rows: pd.DataFrame({"key": [rows["key"].iloc[0]], "total": [double(rows)["y"].sum()]})
