@@ -38,6 +38,12 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Halves away from zero, by the nearest multiple in floating point, as SQL engines do it; F.round goes through decimal numbers, which takes most of the time where rows are many."""
+    whole = F.when(c < 0, -F.floor(c * -(10.0**digits) + 0.5)).otherwise(F.floor(c * 10.0**digits + 0.5))
+    return F.when(F.abs(c) < 2.0**52 / 10**digits, whole / F.lit(10.0**digits)).otherwise(c)
+
+
 def track_order():
     """Order of one vehicle's samples; event_id breaks ties."""
     return W.partitionBy("user_id").orderBy("ts", "event_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window as W
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import angles
 from plumbline.operators import filters, raster
 
-from .base import SAMPLES_SQL, track_order, Plans, r6, samples, table
+from .base import SAMPLES_SQL, track_order, Plans, r6, rounded, samples, table
 from .raster import BILINEAR_SQL, GRID_SQL, tiles
 
 plans = Plans()
@@ -46,10 +48,12 @@ def covariance_ellipse(spark, sf_dir, points: int = 80):
     # a circle up to rounding has no long axis: its outline begins in the east
     angle = F.when(F.hypot(F.col("ee") - F.col("nn"), F.col("en") * 2) <= (F.col("ee") + F.col("nn")) * 1e-9, 0.0).otherwise(F.atan2(F.col("en") * 2, F.col("ee") - F.col("nn")) * 0.5)
     e = covariances(spark, sf_dir).select("event_id", F.greatest(mid + half, F.lit(1e-6)).alias("l1"), F.greatest(mid - half, F.lit(1e-6)).alias("l2"), angle.alias("th"))
-    e = e.withColumn("sigma", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    t = F.col("k") * (2 * np.pi / (points - 1))
-    u, v = F.sqrt("l1") * F.cos(t), F.sqrt("l2") * F.sin(t)
-    return e.select("event_id", "sigma", "k", F.round(F.col("sigma") * (u * F.cos("th") - v * F.sin("th")), 4).alias("east"), F.round(F.col("sigma") * (u * F.sin("th") + v * F.cos("th")), 4).alias("north"))
+    # what doesn't change along an outline is worked out once for a sample, and the steps around it are constants
+    e = e.select("event_id", F.sqrt("l1").alias("long"), F.sqrt("l2").alias("short"), F.cos("th").alias("cos"), F.sin("th").alias("sin"))
+    steps = [F.struct(F.lit(sigma).alias("sigma"), F.lit(k).alias("k"), F.lit(math.cos(2 * math.pi * k / (points - 1))).alias("c"), F.lit(math.sin(2 * math.pi * k / (points - 1))).alias("s")) for sigma in (1, 2) for k in range(points)]
+    e = e.select("*", F.inline(F.array(*steps)))
+    u, v = F.col("long") * F.col("c"), F.col("short") * F.col("s")
+    return e.select("event_id", "sigma", "k", rounded(F.col("sigma") * (u * F.col("cos") - v * F.col("sin")), 4).alias("east"), rounded(F.col("sigma") * (u * F.col("sin") + v * F.col("cos")), 4).alias("north"))
 
 
 _KIND = "CASE event_type WHEN 'view' THEN 'lidar' WHEN 'click' THEN 'radar_alt' WHEN 'error' THEN 'radar' WHEN 'purchase' THEN 'baro' ELSE 'doppler' END"
