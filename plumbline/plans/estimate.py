@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import angles
-from plumbline.operators import filters, raster
+from plumbline.operators import filters, inertial, raster
 
 from .base import SAMPLES_SQL, track_order, Plans, r6, rounded, samples, table
 from .raster import BILINEAR_SQL, GRID_SQL, tiles
@@ -157,20 +157,17 @@ def imm_filter(spark, sf_dir):
 def eskf_track(spark, sf_dir):
     """Each vehicle's fixes through the inertial error filter with level flight between them."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        f, out, before = filters.Inertial(), [], None
-        for r in rows.sort_values(["t", "event_id"]).itertuples():
-            f.predict(*filters.level_imu(r.heading if before is None else before, r.heading, 2.0), 2.0)
-            before = r.heading
-            f.altitude(0.0, 5.0)
-            cov = np.array([[r.ee, r.en], [r.en, r.nn]])
-            gap = np.array([r.east, r.north]) - f.p[:2]
-            if filters.gate(gap, f.cov[:2, :2] + cov, 1e6):
-                f.position(np.array([r.east, r.north]), cov)
-            out.append((r.user_id, r.event_id, *f.p, *f.v, float(np.sqrt(np.trace(f.cov[:2, :2])))))
-        return pd.DataFrame(out, columns=["user_id", "event_id", "east", "north", "up", "v_east", "v_north", "v_up", "hdop"]).round(6)
-
-    return _tracks(spark, sf_dir).groupBy("user_id").applyInPandas(run, "user_id bigint, event_id bigint, east double, north double, up double, v_east double, v_north double, v_up double, hdop double")
+    def step(f: inertial.Inertials, at: np.ndarray, r: pd.DataFrame) -> dict:
+        f.level(at, r["heading"].to_numpy(), 2.0)
+        f.correct(at, slice(2, 3), -f.p[at, 2:3], np.array([[25.0]]))
+        cov, seen = r[["ee", "en", "en", "nn"]].to_numpy().reshape(-1, 2, 2), r[["east", "north"]].to_numpy(float)
+        gap = seen - f.p[at, :2]
+        took = inertial.quadratic(gap, f.cov[at, :2, :2] + cov) <= 1e6
+        f.correct(at[took], slice(0, 2), gap[took], cov[took])
+        places = {n: x for k, n in enumerate(("east", "north", "up")) for n, x in ((n, f.p[at, k]), (f"v_{n}", f.v[at, k]))}
+        return {"user_id": r["user_id"].to_numpy(), "event_id": r["event_id"].to_numpy(), **places, "hdop": np.sqrt(f.cov[at, 0, 0] + f.cov[at, 1, 1])}
+
+    return inertial.in_step(_tracks(spark, sf_dir), "user_id", ["t", "event_id"], step, "user_id bigint, event_id bigint, east double, north double, up double, v_east double, v_north double, v_up double, hdop double")
 
 
 _PART = """raw AS (SELECT vec_id AS id, vec_id % 5 AS pf, embedding[1]::DOUBLE * 1000 AS e, embedding[2]::DOUBLE * 1000 AS n, exp(embedding[3]::DOUBLE * 8) AS u FROM embeddings), parts AS (SELECT *, u / sum(u) OVER (PARTITION BY pf) AS w FROM raw)"""
