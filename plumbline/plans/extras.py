@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import geo
-from plumbline.operators import decide, filters
+from plumbline.operators import decide, filters, inertial
 from plumbline.operators.engine import Raster
 from plumbline.streaming.navigation import raster_of
 
@@ -95,24 +95,20 @@ def east_north_leg(spark, sf_dir):
 def sensor_gate_updates(spark, sf_dir):
     """Readings of one vehicle's altitude and velocity sensors, each gated and then taken into its inertial filter."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        f, out = filters.Inertial(), []
-        for r in rows.sort_values(["ts", "event_id"]).itertuples():
-            f.predict(*filters.level_imu(r.heading, r.heading, 1.0), 1.0)
-            if r.event_type == "view":
-                cov = np.diag([2.25, 2.25, 4.0])
-                gap = np.array([r.value / 100, -r.value / 200, 0.0]) - f.v
-                took = filters.gate(gap, f.cov[3:6, 3:6] + cov, 1e5)
-                if took:
-                    f.velocity(gap + f.v, cov)
-            else:
-                took = filters.gate(np.array([r.value / 10 - f.p[2]]), f.cov[2:3, 2:3] + 64.0, 1e4)
-                if took:
-                    f.altitude(r.value / 10, 8.0)
-            out.append((r.user_id, r.event_id, took, f.p[2], f.v[0], f.v[1]))
-        return pd.DataFrame(out, columns=["user_id", "event_id", "accepted", "up", "v_east", "v_north"]).round(6)
-
-    return samples(spark, sf_dir).select("user_id", "event_id", "ts", "event_type", "heading", "value").groupBy("user_id").applyInPandas(run, "user_id bigint, event_id bigint, accepted boolean, up double, v_east double, v_north double")
+    def step(f: inertial.Inertials, at: np.ndarray, r: pd.DataFrame) -> dict:
+        f.level(at, r["heading"].to_numpy(), 1.0, turning=False)
+        value, view = r["value"].to_numpy(float), (r["event_type"] == "view").to_numpy()
+        cov = np.diag([2.25, 2.25, 4.0])
+        moved = np.stack([value / 100, -value / 200, np.zeros(len(at))], axis=1) - f.v[at]
+        risen = (value / 10 - f.p[at, 2])[:, None]
+        took = np.where(view, inertial.quadratic(moved, f.cov[at, 3:6, 3:6] + cov) <= 1e5, inertial.quadratic(risen, f.cov[at, 2:3, 2:3] + 64.0) <= 1e4)
+        by_view, by_height = took & view, took & ~view
+        f.correct(at[by_view], slice(3, 6), moved[by_view], cov)
+        f.correct(at[by_height], slice(2, 3), risen[by_height], np.array([[64.0]]))
+        return {"user_id": r["user_id"].to_numpy(), "event_id": r["event_id"].to_numpy(), "accepted": took, "up": f.p[at, 2], "v_east": f.v[at, 0], "v_north": f.v[at, 1]}
+
+    readings = samples(spark, sf_dir).select("user_id", "event_id", "ts", "event_type", "heading", "value")
+    return inertial.in_step(readings, "user_id", ["ts", "event_id"], step, "user_id bigint, event_id bigint, accepted boolean, up double, v_east double, v_north double")
 
 
 @plans.add("eskf_engine")
