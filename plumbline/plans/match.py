@@ -236,8 +236,7 @@ SELECT az::INT AS az, off::INT AS off, round(CASE WHEN a * b > 1e-12 THEN d / (a
 @plans.add("terrain_features", _FEATURES)
 def terrain_features(spark, sf_dir):
     """Smoothed height, slope and curvature of each reference row, standardised and weighted, end to end."""
-    got = reference(spark, sf_dir).select("az", features.terrain_features("profile").alias("f"))
-    return got.select("az", F.transform("f", lambda x: F.round(x, 6)).alias("features"))
+    return features.terrain_features(reference(spark, sf_dir), 6)
 
 
 @plans.add("match_feature_metric", _FEATURE_METRIC)
