@@ -41,7 +41,7 @@ _PARSED = f"""{SENTENCES_SQL}, parsed AS (
 
 
 def frames(spark, sf_dir):
-    return sentences(spark, sf_dir).select("event_id", "user_id", "ts", sentence.parse(F.col("line")).alias("f")).where("f is not null").select("event_id", "user_id", "ts", "f.*")
+    return sentences(spark, sf_dir).select("event_id", "user_id", "ts", sentence.parsed_rows(F.col("line")))
 
 
 @plans.add("nmea_parse_roundtrip", f"WITH {_PARSED} SELECT event_id, timestamp_utc, radar_alt_m, raw, valid, round(substr(timestamp_utc, 1, 2)::DOUBLE * 3600 + substr(timestamp_utc, 3, 2)::DOUBLE * 60 + substr(timestamp_utc, 5)::DOUBLE, 6) AS seconds FROM parsed")

@@ -30,7 +30,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
     """Frames of a sentence log; other lines are dropped, invalid frames stay with valid false."""
-    return lines(spark, path).select("file", "line_no", sentence.parse(F.col("line")).alias("f")).where("f is not null").select("file", "line_no", "f.*")
+    return lines(spark, path).select("file", "line_no", sentence.parsed_rows(F.col("line")))
 
 
 def read_heights(spark: SparkSession, path: str) -> DataFrame:
