@@ -8,8 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import geo
-from plumbline.operators import decide, filters, inertial
-from plumbline.operators.engine import Raster
+from plumbline.operators import decide, inertial, particles
 from plumbline.streaming.navigation import raster_of
 
 from .base import SAMPLES_SQL, track_order, Plans, r6, samples
@@ -117,42 +116,8 @@ def eskf_engine(spark, sf_dir):
 
     Particles are drawn by a generator seeded with the vehicle's key, so runs repeat; agreement is judged before they are drawn anew.
     """
-    terrain: Raster = raster_of(tiles(spark, sf_dir).withColumn("values", F.transform("values", lambda v: v + 1250)), 30.0)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        key, size, step, n, spacing = int(rows["user_id"].iloc[0]), 20, 10, 200, 30.0
-        rng, f, out = np.random.default_rng(key), filters.Inertial(), []
-        height = terrain.cells.shape[0] * terrain.cell
-        centre = np.array([900.0, height / 2])
-        parts, w = centre + rng.normal(0, 200, (n, 2)), np.full(n, 1 / n)
-        h = rows.sort_values(["ts", "event_id"])
-        agl, ids, heading = h["agl"].to_numpy(float), h["event_id"].to_numpy(), float(key * 40 % 360)
-        b, dt = np.radians(heading), 10.0
-        for k in range(0, len(agl) - size + 1, step):
-            f.predict(*filters.level_imu(heading, heading, dt), dt)
-            f.altitude(0.0, 8.0)
-            move = 3.0 * dt * np.array([np.sin(b), np.cos(b)]) / 10
-            parts = parts + move + rng.normal(0, 10, (n, 2))
-            profile = 1500 - agl[k : k + size]
-            ok = np.isfinite(profile)
-            entropy, agreed, spread = np.log(n), False, float("nan")
-            if ok.sum() >= max(3, size // 2) and np.nanstd(profile) >= 1e-6:
-                d = np.arange(size)[ok] * spacing / 10
-                seen = terrain.sample(parts[:, :1] + d * np.sin(b), parts[:, 1:] + d * np.cos(b))
-                w = filters.particle_weights(w, seen - profile[ok], 100.0)
-                mean = w @ parts
-                cov = np.einsum("i,ij,ik->jk", w, parts - mean, parts - mean) + np.eye(2) * 1e-9
-                entropy, spread = float(-(w * np.log(np.maximum(w, 1e-300))).sum()), float(np.trace(cov))
-                agreed = spread < 50_000 and entropy < 0.75 * np.log(n)
-                if agreed:
-                    f.position(parts[int(w.argmax())] - centre, cov + np.eye(2))
-                if 1 / (w * w).sum() < 0.6 * n:
-                    parts, w = parts[filters.resampled(w, float(rng.random()))], np.full(n, 1 / n)
-            out.append((key, k // step, int(ids[k]), int(ids[k + size - 1]), "terrain_particle_update" if agreed else "inertial_prediction", entropy, spread if np.isfinite(spread) else None, float(f.p[0]), float(f.p[1]), float(f.p[2])))
-        return pd.DataFrame(out, columns=["user_id", "window_id", "first_id", "last_id", "mode", "entropy", "spread", "east", "north", "up"]).round(6)
-
-    s = samples(spark, sf_dir).select("user_id", "event_id", "ts", "agl")
-    return s.groupBy("user_id").applyInPandas(run, "user_id bigint, window_id bigint, first_id bigint, last_id bigint, mode string, entropy double, spread double, east double, north double, up double")
+    terrain = raster_of(tiles(spark, sf_dir).withColumn("values", F.transform("values", lambda v: v + 1250)), 30.0)
+    return particles.search(samples(spark, sf_dir), terrain)
 
 
 @plans.add("probe_union", f"WITH {SAMPLES_SQL}, b AS (SELECT event_id, event_id % 60 AS n FROM samples) SELECT event_id, 50::INT AS size FROM b WHERE n >= 50 UNION SELECT event_id, s::INT FROM b, (VALUES (20), (30), (40), (50)) v(s) WHERE s <= n")
