@@ -26,7 +26,7 @@ class Swarms:
     def __init__(self, keys: np.ndarray, terrain: Raster):
         self.keys, self.terrain, self.f = keys, terrain, Inertials()
         self.f.seat(keys)
-        self.centre = np.array([900.0, terrain.cells.shape[0] * terrain.cell / 2])
+        self.centre = np.array([900.0, terrain.shape[0] * terrain.cell / 2])
         self.rng = [np.random.default_rng(k) for k in keys.tolist()]
         self.parts = np.stack([self.centre + r.normal(0, 200, (PARTICLES, 2)) for r in self.rng])
         self.w = np.full((len(keys), PARTICLES), 1 / PARTICLES)
